@@ -367,9 +367,8 @@ def f6(spark, sf):
 
 
 def numbered(spark, sf):
-    points = ring_points(spark, sf, remove_holes=False)
-    layers = lv.drop_empty(polygons.layer_table(polygons.polygon_metrics(points), levels(spark, sf)))
-    return points, layers
+    product = products.contour_product(dem(spark, sf), grids(spark, sf), products.Job(remove_holes=False))
+    return product.ring_points, product.layers
 
 
 @query("k1_geojson")

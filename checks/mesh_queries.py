@@ -79,16 +79,16 @@ def f3(spark, sf):
     "f4_side_walls",
     oracle("clean", "grids")
     + """, border as (
-select 0 side, grid_row at, grid_row, grid_col, elev from clean where grid_col = 0
+select 0 side, grid_row pos, grid_row, grid_col, elev from clean where grid_col = 0
 union all select 1, grid_row, grid_row, grid_col, elev from clean where grid_col = 49
 union all select 2, grid_col, grid_row, grid_col, elev from clean where grid_row = 0
 union all select 3, grid_col, grid_row, grid_col, elev from clean where grid_row = (select height - 1 from grids)),
-pair as (select a.side, a.at, a.grid_row * 50 + a.grid_col t0, b.grid_row * 50 + b.grid_col t1, (select width * height from grids) n,
-  (select greatest(width, height) from grids) m from border a join border b on a.side = b.side and b.at = a.at + 1
+pair as (select a.side, a.pos, a.grid_row * 50 + a.grid_col t0, b.grid_row * 50 + b.grid_col t1, (select width * height from grids) n,
+  (select greatest(width, height) from grids) m from border a join border b on a.side = b.side and b.pos = a.pos + 1
   where a.elev is not null and b.elev is not null)
-select 'g0' as mesh_id, cast(n * 4 + (side * m + at) * 2 as bigint) as tid, cast(t0 as bigint) as v0,
+select 'g0' as mesh_id, cast(n * 4 + (side * m + pos) * 2 as bigint) as tid, cast(t0 as bigint) as v0,
   cast(case when side in (0, 3) then n + t0 else t1 end as bigint) as v1, cast(case when side in (0, 3) then t1 else n + t0 end as bigint) as v2 from pair
-union all select 'g0', n * 4 + (side * m + at) * 2 + 1, n + t0, case when side in (0, 3) then n + t1 else t1 end, case when side in (0, 3) then t1 else n + t1 end from pair""",
+union all select 'g0', n * 4 + (side * m + pos) * 2 + 1, n + t0, case when side in (0, 3) then n + t1 else t1 end, case when side in (0, 3) then t1 else n + t1 end from pair""",
 )
 def f4(spark, sf):
     return heightmap.side_walls(clean(spark, sf), grids(spark, sf), -10.0).triangles
@@ -98,10 +98,10 @@ def f4(spark, sf):
     "f5_triangulation_stats",
     oracle("pairs", "grids", "span")
     + """, border as (
-select 0 side, grid_row at, elev from clean where grid_col = 0 union all select 1, grid_row, elev from clean where grid_col = 49
+select 0 side, grid_row pos, elev from clean where grid_col = 0 union all select 1, grid_row, elev from clean where grid_col = 49
 union all select 2, grid_col, elev from clean where grid_row = 0 union all select 3, grid_col, elev from clean where grid_row = (select height - 1 from grids))
 select g.grid_id, cast((select count(*) from pairs) * 2 as bigint) as surface_triangles, cast(2 * 49 * (height - 1) as bigint) as base_triangles,
-cast(2 * (select count(*) from border a join border b on a.side = b.side and b.at = a.at + 1 where a.elev is not null and b.elev is not null) as bigint) as wall_triangles,
+cast(2 * (select count(*) from border a join border b on a.side = b.side and b.pos = a.pos + 1 where a.elev is not null and b.elev is not null) as bigint) as wall_triangles,
 cast(49 * (height - 1) - (select count(*) from pairs) as bigint) as skipped_voids, min_elev, max_elev, width, height from grids g join span using (grid_id)""",
 )
 def f5(spark, sf):

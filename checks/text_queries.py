@@ -309,6 +309,6 @@ select run_id, coalesce(files_ok, 0) as files_ok, coalesce(files_total, 0) as fi
 )
 def j7(spark, sf):
     stages = derived(spark, sf, "run_stages").withColumn(
-        "end_time", F.timestamp_millis(F.unix_millis("start_time") + F.col("took_ms"))
+        "end_time", F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("took_ms") / 1000)
     )
     return logs.run_summary(derived(spark, sf, "run_files"), stages)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from isoterra.functions.numbers import fixed
+
 # Feet per metre, millimetres per inch.
 FEET_PER_METRE = 3.28084
 MM_PER_INCH = 25.4
@@ -13,11 +15,6 @@ MM_PER_INCH = 25.4
 _ESCAPED = "\x01"
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
-
-
 def whole(value: Column) -> Column:
     """Nearest whole number (half away from zero) as text."""
     return F.round(value).cast("int").cast("string")

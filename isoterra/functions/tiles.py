@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from isoterra.functions.numbers import fixed
+
 # Tile file suffix, smallest and largest size of a good tile file, geocoder address.
 TILE_SUFFIX = ".hgt.gz"
 TILE_MIN_BYTES, TILE_MAX_BYTES = 5_000_000, 50_000_000
@@ -84,6 +86,4 @@ def search_url(
 def reverse_url(lat: Column, lon: Column, language: str = "en", server: str = GEOCODER) -> Column:
     """Geocoder reverse request for a point, eight decimals."""
     tail = "&format=json" + (f"&accept-language={language}" if language else "")
-    return F.concat(
-        F.format_string(f"{server}/reverse?lat=%.8f&lon=%.8f", lat.cast("double"), lon.cast("double")), F.lit(tail)
-    )
+    return F.concat(F.lit(f"{server}/reverse?lat="), fixed(lat, 8), F.lit("&lon="), fixed(lon, 8), F.lit(tail))

@@ -81,7 +81,9 @@ def run_summary(files: DataFrame, stages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("files_total"),
         F.coalesce(F.sum(F.when(F.col("ok"), F.col("bytes"))), F.lit(0)).alias("bytes"),
     )
-    took = F.unix_millis("end_time") - F.unix_millis("start_time")
+    # A difference of timestamps needs no time zone, whichever timestamp type the log has.
+    seconds = F.expr("cast(cast(end_time - start_time as interval second) as decimal(24, 6))")
+    took = (seconds * 1000).cast("long")
     by_stage = stages.groupBy("run_id").agg(
         F.count_if("completed").alias("stages_complete"),
         F.count(F.lit(1)).alias("stages_total"),

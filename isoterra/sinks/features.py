@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoterra.functions.numbers import significant
 from isoterra.operators.polygons import POLYGON, polygon_metrics
-from isoterra.sinks.text import ring_parts, significant
+from isoterra.sinks.text import ring_parts
 from isoterra.spread import attach
 
 # A geometry with more vertices is left to `wkt_parts`: a single value cannot grow without bound.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoterra.functions.numbers import fixed
 from isoterra.operators.polygons import POLYGON, polygon_metrics
-from isoterra.sinks.text import FIRST, LAST, fixed, ring_parts, write_lines
+from isoterra.sinks.text import FIRST, LAST, ring_parts, write_lines
 from isoterra.spread import attach
 
 # Coordinate decimals and style properties of a feature.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoterra.functions.numbers import fixed
 from isoterra.operators.mesh import (
     CORNERS,
     Mesh,
@@ -15,7 +16,7 @@ from isoterra.operators.mesh import (
     with_corners,
 )
 from isoterra.operators.style import band_materials, triangle_band, vertex_ramp
-from isoterra.sinks.text import fixed, write_lines
+from isoterra.sinks.text import write_lines
 from isoterra.spread import BLOCK, attach, dense_ids, lookup
 
 # Decimals of coordinates and colours, name of a solid, normal written for vertices.

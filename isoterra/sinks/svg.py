@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoterra.functions.labels import layer_id
+from isoterra.functions.numbers import significant
 from isoterra.operators.polygons import POLYGON, canvas, fit_canvas, polygon_bounds
 from isoterra.operators.style import polygon_style
-from isoterra.sinks.text import FIRST, LAST, ring_parts, significant, write_lines
+from isoterra.sinks.text import FIRST, LAST, ring_parts, write_lines
 from isoterra.spread import attach
 
 # Canvas, stroke widths, background.

@@ -18,21 +18,6 @@ from isoterra.spread import BLOCK
 FIRST, LAST = -1, 2**62
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
-
-
-def significant(value: Column) -> Column:
-    """Number with six significant digits and no trailing zeros, as plain stream output shows it."""
-    size = F.abs(value)
-    text = F.when(size >= 100000, fixed(value, 0))
-    for decimals, least in ((1, 10000), (2, 1000), (3, 100), (4, 10), (5, 1), (6, 0.1), (7, 0.01), (8, 0.001)):
-        text = text.when(size >= least, fixed(value, decimals))
-    text = text.when(size == 0, F.lit("0")).otherwise(fixed(value, 9))
-    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-
-
 def ring_parts(
     points: DataFrame, point: Column, separator: str, opening: Column, closing: Column, block: int = BLOCK
 ) -> DataFrame:
