@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoterra.functions.numbers import significant
+from isoterra.functions.numbers import with_text
 from isoterra.operators.polygons import POLYGON, polygon_metrics
 from isoterra.sinks.text import ring_parts
 from isoterra.spread import attach
@@ -16,11 +16,12 @@ WHOLE_VERTICES = 1_000_000
 
 def wkt_parts(ring_points: DataFrame) -> DataFrame:
     """WKT of every polygon in pieces (polygon columns, ring_id, part, value); in order they give the text."""
-    pair = F.concat(significant(F.col("x")), F.lit(" "), significant(F.col("y")))
+    written = with_text(ring_points, ["x", "y"])
+    pair = F.concat(F.col("x_text"), F.lit(" "), F.col("y_text"))
     opening = F.when(F.col("ring_id") == 0, "POLYGON ((").otherwise(", (")
     # Every polygon has one exterior and it comes first; its holes follow, then the last bracket.
     closing = F.concat(F.lit(", "), pair, F.lit(")"))
-    return ring_parts(ring_points, pair, ", ", opening, closing)
+    return ring_parts(written, pair, ", ", opening, closing)
 
 
 def feature_table(ring_points: DataFrame, layers: DataFrame, whole_vertices: int = WHOLE_VERTICES) -> DataFrame:

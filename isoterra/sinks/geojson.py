@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoterra.functions.numbers import fixed
+from isoterra.functions.numbers import fixed, with_text
 from isoterra.operators.polygons import POLYGON, polygon_metrics
 from isoterra.sinks.text import FIRST, LAST, ring_parts, write_lines
 from isoterra.spread import attach
@@ -31,11 +31,10 @@ def to_geojson(
     between points and rings, where JSON allows them.
     """
     points = ring_points if holes else ring_points.where("ring_id = 0")
-    pair = F.concat(
-        F.lit("["), fixed(F.col("x"), precision), F.lit(", "), fixed(F.col("y"), precision), F.lit("]")
-    )
+    written = with_text(points, ["x", "y"], precision)
+    pair = F.concat(F.lit("["), F.col("x_text"), F.lit(", "), F.col("y_text"), F.lit("]"))
     opening = F.when(F.col("ring_id") == 0, "[").otherwise(",[")
-    coordinates = ring_parts(points, pair, ", ", opening, F.concat(F.lit(", "), pair, F.lit("]")))
+    coordinates = ring_parts(written, pair, ", ", opening, F.concat(F.lit(", "), pair, F.lit("]")))
 
     features = points.where("ring_id = 0 and seq = 0").select(*POLYGON)
     first = features.groupBy("grid_id", "layer").agg(F.min("polygon_id").alias("_first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoterra.functions.numbers import fixed
+from isoterra.functions.numbers import with_text
 from isoterra.operators.mesh import (
     CORNERS,
     Mesh,
@@ -26,8 +26,8 @@ VERTEX_NORMAL = (0.0, 0.0, 1.0)
 ORDER = ["mesh_id", "section", "line"]
 
 
-def _numbers(*columns: str, digits: int = DIGITS) -> Column:
-    return F.concat_ws(" ", *[fixed(F.col(c), digits) for c in columns])
+def _texts(*columns: str) -> Column:
+    return F.concat_ws(" ", *[F.col(f"{c}_text") for c in columns])
 
 
 def _lines(df: DataFrame, section: int, line: Column, value: Column) -> DataFrame:
@@ -48,10 +48,12 @@ def stl_lines(mesh: Mesh, factor: float | None = None, bed_mm: float | None = No
     moved = with_corners(print_transform(mesh, factor, bed_mm))
     normals = triangle_geometry(mesh).select("mesh_id", "tid", "nx", "ny", "nz")
     facets = moved.join(normals, ["mesh_id", "tid"])
-    corners = [F.concat(F.lit("      vertex "), _numbers(f"x{k}", f"y{k}", f"z{k}")) for k in range(3)]
+    places = [[f"{c}{k}" for c in "xyz"] for k in range(3)]
+    facets = with_text(facets, [*sum(places, []), "nx", "ny", "nz"], DIGITS)
+    corners = [F.concat(F.lit("      vertex "), _texts(*p)) for p in places]
     facet = F.concat_ws(
         "\n",
-        F.concat(F.lit("  facet normal "), _numbers("nx", "ny", "nz")),
+        F.concat(F.lit("  facet normal "), _texts("nx", "ny", "nz")),
         F.lit("    outer loop"),
         *corners,
         F.lit("    endloop"),
@@ -109,7 +111,7 @@ def obj_lines(mesh: Mesh, bands: int = 0, normals: bool = True, scheme: str | li
     group = F.concat(F.lit("g "), F.col("mesh_id"), F.lit("\no "), F.col("mesh_id"))
     parts = [
         _lines(meshes, 1, F.lit(0), group),
-        _lines(vertices, 2, F.col("n"), F.concat(F.lit("v "), _numbers("x", "y", "z"))),
+        _lines(with_text(vertices, ["x", "y", "z"], DIGITS), 2, F.col("n"), F.concat(F.lit("v "), _texts("x", "y", "z"))),
         _lines(faces, 4, F.col("tid"), text),
     ]
     if normals:
@@ -122,16 +124,18 @@ def mtl_lines(materials: DataFrame) -> DataFrame:
     """Lines of the material library of `band_materials` rows keyed by mesh_id; one row per material."""
 
     def colors(kind: str) -> Column:
-        return _numbers(*[f"{kind}_{c}" for c in "rgb"], digits=COLOR_DIGITS)
+        return _texts(*[f"{kind}_{c}" for c in "rgb"])
 
-    specular = fixed(F.col("specular"), COLOR_DIGITS)
+    numbers = [f"{kind}_{c}" for kind in ("ambient", "diffuse") for c in "rgb"] + ["specular", "shininess"]
+    materials = with_text(materials, numbers, COLOR_DIGITS)
+    specular = F.col("specular_text")
     value = F.concat_ws(
         "\n",
         F.concat(F.lit("newmtl "), F.col("name")),
         F.concat(F.lit("Ka "), colors("ambient")),
         F.concat(F.lit("Kd "), colors("diffuse")),
         F.concat(F.lit("Ks "), F.concat_ws(" ", specular, specular, specular)),
-        F.concat(F.lit("Ns "), fixed(F.col("shininess"), COLOR_DIGITS)),
+        F.concat(F.lit("Ns "), F.col("shininess_text")),
         F.lit(""),
     )
     return _lines(materials, 0, F.col("band"), value)
@@ -145,7 +149,7 @@ def ply_lines(mesh: Mesh, colors: bool = True, normals: bool = True, tol: float
     counts = starts.join(faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_faces")), "mesh_id", "left")
     listed = attach(faces, starts.select("mesh_id", "_start"), ["mesh_id"], ["tid"])
     properties = [f"property float {c}" for c in "xyz"]
-    written = [_numbers("x", "y", "z")]
+    written = [_texts("x", "y", "z")]
     if normals:
         properties += [f"property float n{c}" for c in "xyz"]
         written.append(F.lit(" ".join(f"{v:.{DIGITS}f}" for v in VERTEX_NORMAL)))
@@ -162,7 +166,7 @@ def ply_lines(mesh: Mesh, colors: bool = True, normals: bool = True, tol: float
     corners = [(F.col(f"n{k}") - F.col("_start")).cast("string") for k in range(3)]
     return _union(
         _lines(counts, 0, F.lit(0), head),
-        _lines(vertices, 1, F.col("n"), F.concat_ws(" ", *written)),
+        _lines(with_text(vertices, ["x", "y", "z"], DIGITS), 1, F.col("n"), F.concat_ws(" ", *written)),
         _lines(listed, 2, F.col("tid"), F.concat_ws(" ", F.lit("3"), *corners)),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoterra.functions.labels import layer_id
-from isoterra.functions.numbers import significant
+from isoterra.functions.numbers import with_text
 from isoterra.operators.polygons import POLYGON, canvas, fit_canvas, polygon_bounds
 from isoterra.operators.style import polygon_style
 from isoterra.sinks.text import FIRST, LAST, ring_parts, write_lines
@@ -23,9 +23,9 @@ ORDER = ["polygon_id", "ring_id", "part"]
 def svg_paths(canvas_points: DataFrame, holes: bool = False) -> DataFrame:
     """Path text `M x y L ... Z` of every polygon in pieces; holes are appended on request."""
     points = canvas_points if holes else canvas_points.where("ring_id = 0")
-    pair = F.concat(significant(F.col("x")), F.lit(" "), significant(F.col("y")))
+    pair = F.concat(F.col("x_text"), F.lit(" "), F.col("y_text"))
     opening = F.when(F.col("ring_id") == 0, "M ").otherwise(" M ")
-    return ring_parts(points, pair, " L ", opening, F.lit(" Z"))
+    return ring_parts(with_text(points, ["x", "y"]), pair, " L ", opening, F.lit(" Z"))
 
 
 def _line(*parts: str | Column) -> Column:
@@ -52,11 +52,12 @@ def svg_lines(
     drawn = fit_canvas(ring_points, bounds, width_mm, margin_mm)
     paths = svg_paths(drawn, holes)
     styled = polygon_style(layers, mode, scheme).withColumn("_id", layer_id(F.col("layer_number"), F.col("elevation")))
-    size = canvas(bounds, width_mm, margin_mm).select("grid_id", "height_mm")
+    styled = with_text(styled, ["elevation"])
+    size = with_text(canvas(bounds, width_mm, margin_mm).select("grid_id", "height_mm"), ["height_mm"])
     present = ring_points.where("ring_id = 0 and seq = 0").select(*POLYGON)
-    look = styled.select("grid_id", "layer", "elevation", "fill", "fill_opacity", "_id")
+    look = styled.select("grid_id", "layer", "elevation_text", "fill", "fill_opacity", "_id")
     sheets = present.select("grid_id", "layer").distinct().join(look, ["grid_id", "layer"]).join(size, "grid_id")
-    width, height = significant(F.lit(width_mm)), significant(F.col("height_mm"))
+    width, height = f"{width_mm:g}", F.col("height_mm_text")
     head = _line(
         '<?xml version="1.0" encoding="UTF-8" standalone="no"?>\n<svg\n  width="', width, 'mm"\n  height="', height,
         'mm"\n  viewBox="0 0 ', width, " ", height,
@@ -68,7 +69,7 @@ def svg_lines(
         "      .elevation-label { font-family: Arial, sans-serif; font-size: 3mm; }\n"
         '    </style>\n  </defs>\n  <rect\n    x="0"\n    y="0"\n    width="', width, '"\n    height="', height,
         f'"\n    fill="{BACKGROUND}"\n    inkscape:label="Background"\n  />\n  <g id="',
-        F.col("_id"), '" inkscape:label="Layer ', significant(F.col("elevation")), 'm">',
+        F.col("_id"), '" inkscape:label="Layer ', F.col("elevation_text"), 'm">',
     )
 
     def frame(at: int, value: Column) -> DataFrame:
@@ -76,7 +77,7 @@ def svg_lines(
         return sheets.select("grid_id", "layer", *ids, value.alias("value"))
 
     polygons = attach(present, look, ["grid_id", "layer"], ["polygon_id"])
-    opacity = F.when(F.col("fill") != "none", _line('      fill-opacity="', significant(F.col("fill_opacity")), '"\n'))
+    opacity = F.when(F.col("fill") != "none", _line('      fill-opacity="', F.col("fill_opacity").cast("string"), '"\n'))
     tail = _line(
         f'"\n      class="cut-line"\n      stroke="{stroke}"\n      stroke-width="{stroke_mm:g}mm"\n      fill="',
         F.col("fill"), '"\n', F.coalesce(opacity, F.lit("")),
