@@ -8,6 +8,7 @@ of value * 10^digits is recovered exactly and consulted when the product looks l
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,11 @@ def fixed(value: Column, digits: int) -> Column:
     """Number with a fixed count of decimals (0 to 8)."""
     value, scale = value.cast("double"), F.lit(float(10**digits))
     scaled = F.abs(value) * scale
-    return _written(value, _whole(F.abs(value), scale, scaled), F.lit(digits), scaled)
+    # An exact decimal product writes the digits, so the rounded number is named only once.
+    whole = _whole(F.abs(value), scale, scaled).cast("decimal(20,0)")
+    number = whole if digits == 0 else whole * F.lit(Decimal(1).scaleb(-digits))
+    text = F.concat(F.when(value < 0, "-").otherwise(""), number.cast("string"))
+    return F.when(scaled < 2.0**52, text).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def _significant_places(size: Column) -> Column:
