@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoterra.functions.tiles import TILE_MAX_BYTES, TILE_MIN_BYTES, tile_name
+from isoterra.spread import lookup
 
 
 def split_antimeridian(boxes: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def _cached(inventory: DataFrame) -> DataFrame:
 
 def tile_coverage(boxes: DataFrame, inventory: DataFrame) -> DataFrame:
     """Needed, cached and missing tile counts per box; `inventory` is (tile, bytes)."""
-    marked = needed_tiles(boxes).join(_cached(inventory).withColumn("_have", F.lit(True)), "tile", "left")
+    # One tile may lie in most boxes, so the lookup salts hot tiles.
+    marked = lookup(needed_tiles(boxes), _cached(inventory).withColumn("_have", F.lit(True)), ["tile"], ["box_id"], "left")
     return marked.groupBy("box_id").agg(
         F.count(F.lit(1)).alias("needed"),
         F.count("_have").alias("cached"),

@@ -143,7 +143,7 @@ def repair_outliers(grid: DataFrame, lo: float = LOWEST_ELEV, hi: float = HIGHES
 
     Every value is read from the grid before any repair. A result outside the range, or a cell with
     no valid neighbour, becomes a void. Each outlier asks its eight neighbours by one equi-join, so
-    only the outliers are multiplied, never the grid.
+    only the outliers are multiplied; while they are few the grid is not even shuffled.
     """
     elev = F.col("elev").cast("double")
     outlier = elev.isNotNull() & ((elev < lo) | (elev > hi))
@@ -162,13 +162,12 @@ def repair_outliers(grid: DataFrame, lo: float = LOWEST_ELEV, hi: float = HIGHES
         )
     )
     medians = (
-        grid.where(F.col("elev").isNotNull())
-        .join(asked, CELL)
+        attach(grid.where(F.col("elev").isNotNull()), asked, CELL, None)
         .groupBy("grid_id", F.col("_row").alias("grid_row"), F.col("_col").alias("grid_col"))
         .agg(F.median(F.col("elev").cast("double")).alias("_median"))
         .where(F.col("_median").between(lo, hi))
     )
-    return grid.join(medians, CELL, "left").select(
+    return attach(grid, medians, CELL, None, "left").select(
         *CELL, F.when(outlier, F.col("_median").cast("float")).otherwise(F.col("elev")).alias("elev")
     )
 

@@ -114,6 +114,10 @@ def decimate_ring(points: DataFrame, tol: float, block: int = BLOCK) -> DataFram
     anchors = blocked.select(*keys).distinct().select(*keys, nothing.alias("_ax"), nothing.alias("_ay"))
     if blocked.where("_block > 0").limit(1).count():
         anchors = cut(anchors)
+        # Rings of one block are right already; only the others take part in the rounds.
+        several = anchors.where("_block > 0").select(*RING).distinct()
+        single = anchors.join(several, RING, "left_anti")
+        anchors = cut(anchors.join(several, RING, "left_semi"))
         while True:
             ends = blocked.join(anchors, keys).groupBy(*keys).applyInPandas(walk_end, f"{key_type}, _ax double, _ay double")
             handed = ends.select(*RING, (F.col("_block") + 1).alias("_block"), F.col("_ax").alias("_bx"), F.col("_ay").alias("_by"))
@@ -130,6 +134,7 @@ def decimate_ring(points: DataFrame, tol: float, block: int = BLOCK) -> DataFram
             anchors = updated.drop("_new")
             if settled:
                 break
+        anchors = anchors.unionByName(single)
     schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in columns)
     kept = blocked.join(anchors, keys).groupBy(*keys).applyInPandas(walk_all, schema)
     return renumber(kept)

@@ -23,7 +23,7 @@ def _corner_values(base: DataFrame, grid: DataFrame) -> DataFrame:
         (F.col("base_row") + F.col("_o.r")).alias("grid_row"),
         (F.col("base_col") + F.col("_o.c")).alias("grid_col"),
     )
-    found = grid.where(F.col("elev").isNotNull()).join(asked, CELL)
+    found = attach(grid.where(F.col("elev").isNotNull()), asked, CELL, None)
 
     def corner(r: int, c: int):
         here = (F.col("grid_row") - F.col("base_row") == r) & (F.col("grid_col") - F.col("base_col") == c)

@@ -30,9 +30,11 @@ def feature_table(ring_points: DataFrame, layers: DataFrame, whole_vertices: int
     The geometry of polygons above `whole_vertices` is NULL here and complete in `wkt_parts`.
     """
     metrics = polygon_metrics(ring_points)
-    small = metrics.where(F.col("vertices") <= whole_vertices).select(*POLYGON)
-    # Only pieces of bounded polygons are gathered.
-    pieces = wkt_parts(ring_points).join(small, POLYGON, "left_semi")
+    # Only pieces of bounded polygons are gathered. Polygons above the bound are few, and one may hold
+    # most of the points, so they are marked by a size-checked join before any text is made.
+    large = metrics.where(F.col("vertices") > whole_vertices).select(*POLYGON, F.lit(True).alias("_large"))
+    bounded = attach(ring_points, large, POLYGON, ["ring_id", "seq"], "left").where("_large is null").drop("_large")
+    pieces = wkt_parts(bounded)
     texts = pieces.groupBy(*POLYGON).agg(F.array_sort(F.collect_list(F.struct("ring_id", "part", "value"))).alias("_p"))
     geometry = F.concat(F.array_join(F.transform("_p", lambda p: p["value"]), ""), F.lit(")"))
     named = layers.select("grid_id", "layer", "elevation", "layer_number")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A side is broadcast only below these bounds; beyond them the join is salted instead.
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 8 * 1024 * 1024
 BROADCAST_ROWS = 200_000
 # Keys with more rows than this are split; at most rows / HOT_ROWS keys can be hot.
 HOT_ROWS = 1_000_000
@@ -55,20 +55,24 @@ def attach(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
-    spread_by: Sequence[str],
+    spread_by: Sequence[str] | None,
     how: str = "inner",
 ) -> DataFrame:
     """Join a large frame with a frame that is expected to be small (one or few rows per key).
 
     The small side is broadcast only when its size is proven: by Catalyst's estimate or, failing
-    that, by counting its materialised rows. Otherwise both sides are shuffled on the key plus a salt taken from `spread_by`
-    (columns of the large frame), so that a key holding a third of all rows lands on many tasks.
+    that, by counting its materialised rows. Otherwise both sides are shuffled on the key plus a
+    salt taken from `spread_by` (columns of the large frame), so that a key holding a third of all
+    rows lands on many tasks. Without `spread_by`, for keys that are (nearly) unique on both sides,
+    it is an ordinary shuffled join.
     """
     if estimated_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), list(on), how)
     small = cut(small)
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), list(on), how)
+    if spread_by is None:
+        return big.join(small, list(on), how)
     return salted_join(big, small, on, spread_by, how)
 
 
@@ -92,9 +96,9 @@ def lookup(
 ) -> DataFrame:
     """Join facts to a table that is unique on `on`, where single keys of the facts may be hot.
 
-    Small inputs join directly. Otherwise keys above `hot_rows` are found by one partially aggregated count and only those are
-    salted; the list of hot keys has at most rows / hot_rows entries, and its size is checked again
-    by `attach` before it is broadcast.
+    Small inputs join directly. Otherwise keys above `hot_rows` are found by one partially aggregated
+    count and only those are salted; the list of hot keys has at most rows / hot_rows entries, and
+    its size is checked again by `attach` before it is broadcast.
     """
     if estimated_bytes(facts) <= plain_bytes:
         return facts.join(table, list(on), how)
