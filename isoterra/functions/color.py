@@ -31,7 +31,8 @@ def _float(value: float) -> Column:
 def unit_rgb(elev: Column, lo: Column, hi: Column, scheme: str | list[tuple] = "terrain") -> Column:
     """Colour struct(r, g, b) in single precision in [0, 1], linear between the stops of a scheme.
 
-    A list of (position, r, g, b) is a custom scheme. A range without height gives the last colour.
+    A list of (position, r, g, b) is a custom scheme. In a range without height everything below it
+    gets the first colour and the rest the last.
     """
     if isinstance(scheme, str):
         if scheme not in SCHEMES:
@@ -39,7 +40,8 @@ def unit_rgb(elev: Column, lo: Column, hi: Column, scheme: str | list[tuple] = "
         stops = SCHEMES[scheme]
     else:
         stops = sorted(scheme)
-    at = F.least(F.greatest(F.try_divide(elev - lo, hi - lo), F.lit(0.0)), F.lit(1.0))
+    inner = F.least(F.greatest(F.try_divide(elev - lo, hi - lo), F.lit(0.0)), F.lit(1.0))
+    at = F.when(hi != lo, inner).when(elev < lo, 0.0).otherwise(1.0)
 
     def channel(k: int) -> Column:
         chain = None
@@ -52,7 +54,6 @@ def unit_rgb(elev: Column, lo: Column, hi: Column, scheme: str | list[tuple] = "
         chain = F.when(first, _float(stops[0][k])) if chain is None else chain.when(first, _float(stops[0][k]))
         return chain.otherwise(_float(stops[-1][k]))
 
-    # NULL (flat range) fails every test above and so falls to the last colour.
     return F.struct(channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"))
 
 

@@ -91,18 +91,16 @@ def lookup(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    plain_bytes: int = PLAIN_JOIN_BYTES,
 ) -> DataFrame:
     """Join facts to a table that is unique on `on`, where single keys of the facts may be hot.
 
-    Small inputs join directly. Otherwise keys above `hot_rows` are found by one partially aggregated
-    count and only those are salted; the list of hot keys has at most rows / hot_rows entries, and
+    Small inputs join directly. Otherwise keys above HOT_ROWS are found by one partially aggregated
+    count and only those are salted; the list of hot keys has at most rows / HOT_ROWS entries, and
     its size is checked again by `attach` before it is broadcast.
     """
-    if estimated_bytes(facts) <= plain_bytes:
+    if estimated_bytes(facts) <= PLAIN_JOIN_BYTES:
         return facts.join(table, list(on), how)
-    hot = facts.groupBy(*on).count().where(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
+    hot = facts.groupBy(*on).count().where(F.col("count") > HOT_ROWS).select(*on, F.lit(True).alias("_hot"))
     hot = cut(hot)
     top = F.lit(SALTS).cast("long")
     marked = attach(facts, hot, on, spread_by, "left")

@@ -29,6 +29,24 @@ def mask_of(spark, lines, grid_id="g", layer=0):
     )
 
 
+def masks_of(spark, shapes, layer=0):
+    """Several shapes as grids of one mask, each named after its shape."""
+    rows = [
+        (name, layer, r, c)
+        for name, lines in shapes.items()
+        for r, line in enumerate(lines)
+        for c, v in enumerate(line)
+        if v == "#"
+    ]
+    geometry = [
+        (name, 0.0, 1.0, 0.0, float(len(lines)), 0.0, -1.0, len(lines[0]), len(lines)) for name, lines in shapes.items()
+    ]
+    return (
+        spark.createDataFrame(rows, "grid_id string, layer int, grid_row int, grid_col int"),
+        spark.createDataFrame(geometry, GEOMETRY_SCHEMA),
+    )
+
+
 def random_mask(rows, cols, share, seed):
     rng = np.random.default_rng(seed)
     return ["".join("#" if v else "." for v in line) for line in rng.random((rows, cols)) < share]

@@ -4,7 +4,7 @@ import pytest
 
 from isoterra.operators.components import components, erode, inset_layers
 from isoterra.operators.rings import rings
-from tests.helpers import flood_components, mask_of, random_mask, walk_rings
+from tests.helpers import flood_components, mask_of, masks_of, random_mask, walk_rings
 
 SHAPES = {
     "one cell": ["...", ".#.", "..."],
@@ -19,49 +19,33 @@ SHAPES = {
 }
 
 
-def labelled(spark, lines, **options):
-    mask, grids = mask_of(spark, lines)
-    return components(mask, grids, **options), grids
-
-
-@pytest.mark.parametrize("name", SHAPES)
-@pytest.mark.parametrize("chunk,finish", [(256, 500_000), (4, 500_000)])
-def test_components(spark, name, chunk, finish):
-    result, _ = labelled(spark, SHAPES[name], chunk=chunk, finish_rows=finish)
-    got = {(r.grid_row, r.grid_col): r.component_id for r in result.collect()}
-    assert got == flood_components(SHAPES[name])
+CHUNKINGS = [(256, 500_000), (4, 500_000), (3, 0)]
 
 
-@pytest.mark.parametrize("name", ["random", "full"])
-def test_components_by_rounds(spark, name):
-    result, _ = labelled(spark, SHAPES[name], chunk=3, finish_rows=0)
-    got = {(r.grid_row, r.grid_col): r.component_id for r in result.collect()}
-    assert got == flood_components(SHAPES[name])
+@pytest.mark.parametrize("chunk,finish", CHUNKINGS)
+def test_components(spark, chunk, finish):
+    """All shapes at once; small chunks cross borders, finish 0 merges by rounds of joins."""
+    mask, grids = masks_of(spark, SHAPES)
+    got = {}
+    for r in components(mask, grids, chunk=chunk, finish_rows=finish).collect():
+        got.setdefault(r.grid_id, {})[(r.grid_row, r.grid_col)] = r.component_id
+    assert got == {name: flood_components(lines) for name, lines in SHAPES.items()}
 
 
-def check_rings(spark, lines, chunk, finish):
-    cells, grids = labelled(spark, lines)
-    got = {}
+@pytest.mark.parametrize("chunk,finish", CHUNKINGS)
+def test_rings(spark, chunk, finish):
+    mask, grids = masks_of(spark, SHAPES)
+    cells = components(mask, grids)
+    found = {}
     points = rings(cells, grids, remove_holes=False, chunk=chunk, finish_rows=finish).collect()
     for p in sorted(points, key=lambda p: p.seq):
-        got.setdefault((p.polygon_id, p.ring_id), []).append((p.seq, len(lines) - p.y, p.x))
-    for ring in got.values():
-        assert [s for s, _, _ in ring] == list(range(len(ring)))
-    plain = sorted((k[0], [(r, c) for _, r, c in v]) for k, v in got.items())
-    assert plain == sorted((k[0], v) for k, v in walk_rings(lines).items())
-    exteriors = [k for k in got if k[1] == 0]
-    assert sorted(k[0] for k in exteriors) == sorted({k[0] for k in got})
-
-
-@pytest.mark.parametrize("name", SHAPES)
-@pytest.mark.parametrize("chunk,finish", [(256, 500_000), (4, 500_000)])
-def test_rings(spark, name, chunk, finish):
-    check_rings(spark, SHAPES[name], chunk, finish)
-
-
-@pytest.mark.parametrize("name", ["random", "full"])
-def test_rings_by_rounds(spark, name):
-    check_rings(spark, SHAPES[name], 3, 0)
+        ring = found.setdefault(p.grid_id, {}).setdefault((p.polygon_id, p.ring_id), [])
+        assert p.seq == len(ring)
+        ring.append((len(SHAPES[p.grid_id]) - p.y, p.x))
+    for name, lines in SHAPES.items():
+        got = found[name]
+        assert sorted((k[0], v) for k, v in got.items()) == sorted((k[0], v) for k, v in walk_rings(lines).items())
+        assert sorted(k[0] for k in got if k[1] == 0) == sorted({k[0] for k in got})
 
 
 def test_erosion_matches_neighbour_scan(spark):
