@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoterra.operators.levels import banded_cells
 from isoterra.spread import attach, cut, lookup
 
 MASK = ["grid_id", "layer", "grid_row", "grid_col"]
@@ -145,24 +146,92 @@ def _least_labels(mask: np.ndarray) -> np.ndarray:
     return labels.reshape(rows, cols)
 
 
-_LOCAL = "grid_id string, layer int, grid_row int, grid_col int, local long"
+_RUNS = (
+    "grid_id string, layer int, grid_row int, c0 int, c1 int, local long, "
+    "w boolean, e boolean, n array<int>, s array<int>"
+)
+_RUN_COLUMNS = [c.split()[0] for c in _RUNS.split(", ")]
+
+
+def _per_run(at: np.ndarray, run_of: np.ndarray, columns: np.ndarray, count: int) -> list[np.ndarray]:
+    """Columns of marked cells, listed per run."""
+    return np.split(columns[at], np.searchsorted(run_of[at], np.arange(1, count)))
+
+
+def _runs_of(mask: np.ndarray, top: int, left: int) -> pd.DataFrame:
+    """Row runs of a mask with a one-cell frame: area labels and the sides that face no member."""
+    inner = mask[1:-1, 1:-1]
+    starts, ends = inner & ~np.pad(inner, ((0, 0), (1, 0)))[:, :-1], inner & ~np.pad(inner, ((0, 0), (0, 1)))[:, 1:]
+    (row, c0), c1 = np.nonzero(starts), np.nonzero(ends)[1]
+    count, width = len(row), inner.shape[1]
+    label = _least_labels(inner)[row, c0]
+    cell_row, cell_col = np.nonzero(inner)
+    run_of = np.cumsum(starts[inner]) - 1
+    columns = (cell_col + left).astype(np.int32)
+    return pd.DataFrame(
+        {
+            "grid_row": row + top,
+            "c0": c0 + left,
+            "c1": c1 + left,
+            "local": (label // width + top).astype(np.int64) * _CODE + label % width + left,
+            "w": ~mask[1:-1, :-2][row, c0],
+            "e": ~mask[1:-1, 2:][row, c1],
+            "n": _per_run(~mask[:-2, 1:-1][inner], run_of, columns, count),
+            "s": _per_run(~mask[2:, 1:-1][inner], run_of, columns, count),
+        }
+    )
 
 
 def _label_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    row, col = pdf["grid_row"].to_numpy(), pdf["grid_col"].to_numpy()
-    top, left = row.min(), col.min()
-    mask = np.zeros((row.max() - top + 1, col.max() - left + 1), dtype=bool)
-    mask[row - top, col - left] = True
-    labels = _least_labels(mask)[row - top, col - left]
-    local = (labels // mask.shape[1] + top).astype(np.int64) * _CODE + labels % mask.shape[1] + left
-    return pdf[MASK].assign(local=local)
+    """Runs of one chunk for every layer its cells reach; `band` layers from `layer` upwards."""
+    own = pdf["own"].to_numpy()
+    if not own.any():
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in _RUN_COLUMNS})
+    row, col, band = (pdf[c].to_numpy() for c in ("grid_row", "grid_col", "band"))
+    top, left = row[own].min(), col[own].min()
+    reach = np.zeros((row[own].max() - top + 3, col[own].max() - left + 3), dtype=np.int32)
+    # Frame cells beyond the own cells by more than one touch nothing of this chunk.
+    near = (row >= top - 1) & (row - top + 1 < reach.shape[0]) & (col >= left - 1) & (col - left + 1 < reach.shape[1])
+    reach[row[near] - top + 1, col[near] - left + 1] = band[near]
+    base = int(pdf["layer"].iloc[0])
+    parts = []
+    for k in range(int(band[own].max())):
+        parts.append(_runs_of(reach > k, top, left).assign(layer=base + k))
+    return pd.concat(parts).assign(grid_id=pdf["grid_id"].iloc[0])[_RUN_COLUMNS]
+
+
+def _chunked(banded: DataFrame, chunk: int) -> DataFrame:
+    """Cells with their chunk; cells on a chunk border are also sent, as frame, to the side neighbours."""
+    row, col = F.col("grid_row"), F.col("grid_col")
+    cr, cc = F.expr(f"grid_row div {chunk}"), F.expr(f"grid_col div {chunk}")
+
+    def beyond(c: Column) -> Column:
+        at = c % chunk
+        return F.when(at == 0, -1).when(at == chunk - 1, 1)
 
+    def place(r: Column, c: Column, own: bool) -> Column:
+        return F.struct(r.alias("r"), c.alias("c"), F.lit(own).alias("own"))
 
-def _links(local: DataFrame, chunk: int) -> DataFrame:
+    up, across = beyond(row), beyond(col)
+    targets = F.array(
+        place(cr, cc, True),
+        F.when(cr + up >= 0, place(cr + up, cc, False)),
+        F.when(cc + across >= 0, place(cr, cc + across, False)),
+    )
+    placed = banded.withColumn("_k", F.explode(F.filter(targets, lambda t: t.isNotNull())))
+    return placed.select("grid_id", "layer", "grid_row", "grid_col", "band", "_k.r", "_k.c", "_k.own")
+
+
+def _links(runs: DataFrame, chunk: int) -> DataFrame:
     """Pairs of chunk areas that touch across a chunk border, (grid_id, layer, a, b) with a < b."""
     row, col = F.col("grid_row"), F.col("grid_col")
-    edge = (row % chunk).isin(0, chunk - 1) | (col % chunk).isin(0, chunk - 1)
-    rim = local.where(edge)
+    border_row = (row % chunk).isin(0, chunk - 1)
+    touches = border_row | (F.col("c0") % chunk == 0) | (F.col("c1") % chunk == chunk - 1)
+    rim = (
+        runs.where(touches)
+        .select("grid_id", "layer", "grid_row", "local", F.explode(F.sequence("c0", "c1")).alias("grid_col"))
+        .where(border_row | (col % chunk).isin(0, chunk - 1))
+    )
     ahead = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
 
     def chunk_of(c: Column) -> Column:
@@ -263,20 +332,71 @@ def link_roots(links: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
     return result
 
 
-def components(cells: DataFrame, grids: DataFrame, chunk: int = CHUNK, finish_rows: int = FINISH_ROWS) -> DataFrame:
-    """8-connected areas of every layer: the mask with `component_id` = least row * width + col.
+def _areas(runs: DataFrame, grids: DataFrame, chunk: int, finish_rows: int) -> DataFrame:
+    """Merge chunk areas that touch: runs with `component_id`."""
+    # Used three times below and made by Python workers: kept in the shared folder.
+    runs = cut(runs)
+    roots = link_roots(_links(runs, chunk), finish_rows)
+    # A chunk area has at most chunk^2 runs, so no key of this join is hot.
+    named = attach(runs, roots, ["grid_id", "layer", "local"], None, "left")
+    placed = attach(named, grids.select("grid_id", "width"), ["grid_id"], ["grid_row", "c0"])
+    root = F.coalesce("root", "local")
+    number = F.floor(root / _CODE) * F.col("width") + root % _CODE
+    return placed.select(*[c for c in _RUN_COLUMNS if c != "local"], number.alias("component_id"))
+
+
+def label_areas(cells: DataFrame, grids: DataFrame, chunk: int = CHUNK, finish_rows: int = FINISH_ROWS) -> DataFrame:
+    """8-connected areas of any mask as row runs.
+
+    One row per run of members inside a chunk: (grid_id, layer, grid_row, c0, c1, w, e, n, s,
+    component_id), where w, e tell whether the ends and n, s which columns of the upper and lower
+    side face no member. Chunks are labelled in parallel, areas that touch across chunk borders are
+    linked by an equi-join of the border cells only. The result does not depend on partitioning.
+    """
+    mask = cells.select(
+        "grid_id", F.col("layer").cast("int").alias("layer"), "grid_row", "grid_col", F.lit(1).alias("band")
+    )
+    runs = _chunked(mask, chunk).groupBy("grid_id", "layer", "r", "c").applyInPandas(_label_chunk, _RUNS)
+    return _areas(runs, grids, chunk, finish_rows)
+
 
-    Chunks are labelled in parallel, areas that touch across chunk borders are linked by an
-    equi-join of the border cells only, and the links are merged. The result does not depend on how
-    the rows were partitioned.
+def label_layers(
+    grid: DataFrame, levels: DataFrame, grids: DataFrame, chunk: int = CHUNK, finish_rows: int = FINISH_ROWS
+) -> DataFrame:
+    """The same for all cumulative layers of a grid, which is shuffled once and not once per layer.
+
+    A cell travels with the number of layers it reaches, and a chunk labels every layer in turn.
     """
-    keys = [F.expr(f"grid_row div {chunk}").alias("_cr"), F.expr(f"grid_col div {chunk}").alias("_cc")]
-    mask = cells.select("grid_id", F.col("layer").cast("int").alias("layer"), "grid_row", "grid_col")
-    # Used three times below and made by Python workers: kept in the shared folder.
-    local = cut(mask.groupBy("grid_id", "layer", *keys).applyInPandas(_label_chunk, _LOCAL))
-    roots = link_roots(_links(local, chunk), finish_rows)
-    named = local.join(roots, ["grid_id", "layer", "local"], "left").withColumn("_root", F.coalesce("root", "local"))
-    placed = attach(named, grids.select("grid_id", "width"), ["grid_id"], ["grid_row", "grid_col"])
-    root_row, root_col = F.expr(f"_root div {_CODE}"), F.col("_root") % _CODE
-    return placed.select(*MASK, (root_row * F.col("width") + root_col).alias("component_id"))
+    banded = banded_cells(grid, levels).where("band > 0")
+    # `layer` is the lowest one; layers are numbered from 0 without gaps.
+    cells = banded.select("grid_id", F.lit(0).alias("layer"), "grid_row", "grid_col", F.col("band").cast("int").alias("band"))
+    runs = _chunked(cells, chunk).groupBy("grid_id", "r", "c").applyInPandas(_label_chunk, _RUNS)
+    return _areas(runs, grids, chunk, finish_rows)
+
+
+def area_cells(areas: DataFrame) -> DataFrame:
+    """Cells of labelled runs, (grid_id, layer, grid_row, grid_col, component_id)."""
+    return areas.select(
+        "grid_id", "layer", "grid_row", F.explode(F.sequence("c0", "c1")).alias("grid_col"), "component_id"
+    )
+
 
+def area_sides(areas: DataFrame) -> DataFrame:
+    """Sides of labelled runs that face no member, like `boundary_sides` with `component_id`."""
+
+    def listed(side: int, columns: str) -> Column:
+        return F.transform(columns, lambda c: F.struct(F.lit(side).alias("side"), c.alias("col")))
+
+    def end(side: int, is_open: str, column: str) -> Column:
+        one = F.array(F.struct(F.lit(side).alias("side"), F.col(column).alias("col")))
+        return F.when(F.col(is_open), one).otherwise(F.slice(one, 1, 0))
+
+    sides = F.concat(listed(0, "n"), end(1, "e", "c1"), listed(2, "s"), end(3, "w", "c0"))
+    return areas.withColumn("_s", F.explode(sides)).select(
+        "grid_id", "layer", "grid_row", F.col("_s.col").alias("grid_col"), "component_id", F.col("_s.side").alias("side")
+    )
+
+
+def components(cells: DataFrame, grids: DataFrame, chunk: int = CHUNK, finish_rows: int = FINISH_ROWS) -> DataFrame:
+    """8-connected areas of every layer: the mask with `component_id` = least row * width + col."""
+    return area_cells(label_areas(cells, grids, chunk, finish_rows))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoterra.operators.components import CHUNK, FINISH_ROWS, boundary_sides
+from isoterra.operators.components import CHUNK, FINISH_ROWS, area_sides, boundary_sides
 from isoterra.operators.grid import GEOMETRY
 from isoterra.spread import attach, cut
 
@@ -34,12 +34,12 @@ _TRACED = (
 )
 
 
-def _steps(cells: DataFrame) -> DataFrame:
-    """Directed steps (vrow, vcol = start corner, side = direction) of all boundary sides."""
+def _steps(sides: DataFrame) -> DataFrame:
+    """Directed steps (vrow, vcol = start corner, side = direction) of boundary sides."""
     at = F.col("side")
     row = F.col("grid_row") + F.get(F.array(*[F.lit(v) for v in _START_ROW]), at)
     col = F.col("grid_col") + F.get(F.array(*[F.lit(v) for v in _START_COL]), at)
-    return boundary_sides(cells).select(
+    return sides.select(
         "grid_id", "layer", F.col("component_id").alias("polygon_id"), row.alias("vrow"), col.alias("vcol"), "side"
     )
 
@@ -228,20 +228,30 @@ def _stitch_rounds(pieces: DataFrame) -> DataFrame:
         state = state.drop("_lowered")
 
 
-def rings(
-    cells: DataFrame,
+def rings(cells: DataFrame, grids: DataFrame, **options) -> DataFrame:
+    """Rings of labelled cells (the output of `components`); options as in `side_rings`."""
+    return side_rings(boundary_sides(cells), grids, **options)
+
+
+def area_rings(areas: DataFrame, grids: DataFrame, **options) -> DataFrame:
+    """Rings of labelled runs (the output of `label_areas`), whose open sides are known already."""
+    return side_rings(area_sides(areas), grids, **options)
+
+
+def side_rings(
+    sides: DataFrame,
     grids: DataFrame,
     remove_holes: bool = True,
     compact: bool = True,
     chunk: int = CHUNK,
     finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
-    """Rings of labelled cells (the output of `components`), starting at their least corner.
+    """Rings of boundary sides with their component, starting at their least corner.
 
     Chunks of corners are traced in parallel; only the pieces that leave a chunk are stitched
     together, by pointer doubling. `compact` drops corners on straight lines.
     """
-    steps = _steps(cells)
+    steps = _steps(sides)
     row, col, side = F.col("vrow"), F.col("vcol"), F.col("side")
     start = F.struct(F.expr(f"vrow div {chunk}").alias("r"), F.expr(f"vcol div {chunk}").alias("c"), F.lit(True).alias("own"))
     end_row = row + F.when(side == 1, 1).when(side == 3, -1).otherwise(0)

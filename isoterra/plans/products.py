@@ -24,7 +24,7 @@ from isoterra.operators.levels import contour_levels, drop_empty, layer_cells, l
 from isoterra.operators.mesh import Mesh, mesh_extents, stack_meshes, validate_mesh
 from isoterra.operators.polygons import complexity_gate, layer_table, polygon_metrics
 from isoterra.operators.raster import filled_cells
-from isoterra.operators.rings import rings
+from isoterra.operators.rings import area_rings
 from isoterra.operators.scale import scale_3d
 from isoterra.operators.solid import extrude_layers
 from isoterra.spread import attach, cut
@@ -85,11 +85,13 @@ def contour_product(grid: DataFrame, grids: DataFrame, job: Job = Job()) -> Cont
             fixed=job.fixed,
         )
     )
-    members = layer_cells(repaired, levels)
-    if job.inset_mm is not None:
-        members = areas.inset_layers(members, grids, job.inset_mm)
-    cells = cut(areas.components(members, grids))
-    points = cut(rings(cells, grids, remove_holes=job.remove_holes))
+    if job.inset_mm is None:
+        labelled = areas.label_layers(repaired, levels, grids)
+    else:
+        labelled = areas.label_areas(areas.inset_layers(layer_cells(repaired, levels), grids, job.inset_mm), grids)
+    labelled = cut(labelled)
+    cells = areas.area_cells(labelled)
+    points = cut(area_rings(labelled, grids, remove_holes=job.remove_holes))
     layers = drop_empty(layer_table(polygon_metrics(points), levels))
     if job.only_layers:
         layers = select_layers(layers, job.only_layers)

@@ -2,9 +2,20 @@
 
 import pytest
 
-from isoterra.operators.components import components, erode, inset_layers
-from isoterra.operators.rings import rings
-from tests.helpers import flood_components, mask_of, masks_of, random_mask, walk_rings
+from isoterra.operators.components import (
+    area_cells,
+    area_sides,
+    boundary_sides,
+    components,
+    erode,
+    inset_layers,
+    label_areas,
+    label_layers,
+)
+from isoterra.operators.grid import elevation_range
+from isoterra.operators.levels import contour_levels, layer_cells
+from isoterra.operators.rings import area_rings
+from tests.helpers import flood_components, grid_of, mask_of, masks_of, random_mask, walk_rings
 
 SHAPES = {
     "one cell": ["...", ".#.", "..."],
@@ -32,12 +43,31 @@ def test_components(spark, chunk, finish):
     assert got == {name: flood_components(lines) for name, lines in SHAPES.items()}
 
 
+def test_layers_in_one_pass(spark):
+    """Labelling all layers of a grid at once gives what labelling their members gives."""
+    rows = [[(r * r + 3 * c * c + r * c) % 11 for c in range(13)] for r in range(9)]
+    grid, grids = grid_of(spark, rows)
+    levels = contour_levels(elevation_range(grid), 4)
+    once = area_cells(label_layers(grid, levels, grids, chunk=5)).collect()
+    apart = components(layer_cells(grid, levels), grids).collect()
+    assert sorted(map(tuple, once)) == sorted(map(tuple, apart)) and {r.layer for r in once} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_sides_of_runs(spark, chunk):
+    mask, grids = masks_of(spark, SHAPES)
+    areas = label_areas(mask, grids, chunk=chunk)
+    got = area_sides(areas).drop("component_id").collect()
+    want = boundary_sides(mask, block=3).select("grid_id", "layer", "grid_row", "grid_col", "side").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 @pytest.mark.parametrize("chunk,finish", CHUNKINGS)
 def test_rings(spark, chunk, finish):
     mask, grids = masks_of(spark, SHAPES)
-    cells = components(mask, grids)
     found = {}
-    points = rings(cells, grids, remove_holes=False, chunk=chunk, finish_rows=finish).collect()
+    areas = label_areas(mask, grids)
+    points = area_rings(areas, grids, remove_holes=False, chunk=chunk, finish_rows=finish).collect()
     for p in sorted(points, key=lambda p: p.seq):
         ring = found.setdefault(p.grid_id, {}).setdefault((p.polygon_id, p.ring_id), [])
         assert p.seq == len(ring)
