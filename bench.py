@@ -12,12 +12,12 @@ from pathlib import Path
 
 from checks import fixtures, grid_queries, layer_queries  # noqa: F401
 from checks.compare import session
-from isoterra.operators.components import components
+from isoterra.operators.components import area_cells, label_layers
 from isoterra.operators.grid import elevation_range, repair_outliers
 from isoterra.operators.heightmap import heightmap_triangles
 from isoterra.operators.levels import contour_levels, layer_cells, layer_counts
 from isoterra.operators.mesh import validate_mesh
-from isoterra.operators.rings import rings
+from isoterra.operators.rings import area_rings
 from isoterra.plans.products import Job, contour_product, layered_solid, terrain_mesh
 
 
@@ -38,13 +38,17 @@ def big_counts(spark, sf):
     return layer_counts(grid, levels)
 
 
+def big_areas(spark, sf):
+    grid, frame, levels = big(spark, sf)
+    return label_layers(grid, levels, frame), frame
+
+
 def big_components(spark, sf):
-    return components(*big_members(spark, sf))
+    return area_cells(big_areas(spark, sf)[0])
 
 
 def big_rings(spark, sf):
-    members, frame = big_members(spark, sf)
-    return rings(components(members, frame), frame)
+    return area_rings(*big_areas(spark, sf))
 
 
 def big_surface(spark, sf):

@@ -58,10 +58,15 @@ def c6_sums(spark, sf):
     return summed
 
 
+@query("c5_layer_areas", oracle("areas") + "select grid_id, layer, grid_row, grid_col, cast(component_id as bigint) as component_id from areas")
+def c5_layers(spark, sf):
+    return areas.area_cells(areas.label_layers(clean(spark, sf), levels(spark, sf), grids(spark, sf)))
+
+
 @query("c6_rings")
 def c6(spark, sf):
-    cells = areas.components(members(spark, sf), grids(spark, sf))
-    return rounded(rings.rings(cells, grids(spark, sf), remove_holes=False), "x", "y")
+    labelled = areas.label_layers(clean(spark, sf), levels(spark, sf), grids(spark, sf))
+    return rounded(rings.area_rings(labelled, grids(spark, sf), remove_holes=False), "x", "y")
 
 
 def loops(spark, sf):

@@ -146,40 +146,36 @@ def _least_labels(mask: np.ndarray) -> np.ndarray:
     return labels.reshape(rows, cols)
 
 
-_RUNS = (
-    "grid_id string, layer int, grid_row int, c0 int, c1 int, local long, "
-    "w boolean, e boolean, n array<int>, s array<int>"
-)
+_RUNS = "grid_id string, layer int, grid_row int, c0 int, c1 int, local long, side int"
 _RUN_COLUMNS = [c.split()[0] for c in _RUNS.split(", ")]
+# `side` of a run of members; other runs are cells whose side 0 north, 1 east, 2 south, 3 west is open.
+MEMBERS = -1
 
 
-def _per_run(at: np.ndarray, run_of: np.ndarray, columns: np.ndarray, count: int) -> list[np.ndarray]:
-    """Columns of marked cells, listed per run."""
-    return np.split(columns[at], np.searchsorted(run_of[at], np.arange(1, count)))
+def _stretches(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of every unbroken stretch of a row."""
+    starts = marked & ~np.pad(marked, ((0, 0), (1, 0)))[:, :-1]
+    ends = marked & ~np.pad(marked, ((0, 0), (0, 1)))[:, 1:]
+    row, first = np.nonzero(starts)
+    return row, first, np.nonzero(ends)[1]
 
 
 def _runs_of(mask: np.ndarray, top: int, left: int) -> pd.DataFrame:
-    """Row runs of a mask with a one-cell frame: area labels and the sides that face no member."""
+    """Runs of members and of open sides, with their area label, of a mask inside a one-cell frame."""
     inner = mask[1:-1, 1:-1]
-    starts, ends = inner & ~np.pad(inner, ((0, 0), (1, 0)))[:, :-1], inner & ~np.pad(inner, ((0, 0), (0, 1)))[:, 1:]
-    (row, c0), c1 = np.nonzero(starts), np.nonzero(ends)[1]
-    count, width = len(row), inner.shape[1]
-    label = _least_labels(inner)[row, c0]
-    cell_row, cell_col = np.nonzero(inner)
-    run_of = np.cumsum(starts[inner]) - 1
-    columns = (cell_col + left).astype(np.int32)
-    return pd.DataFrame(
-        {
-            "grid_row": row + top,
-            "c0": c0 + left,
-            "c1": c1 + left,
-            "local": (label // width + top).astype(np.int64) * _CODE + label % width + left,
-            "w": ~mask[1:-1, :-2][row, c0],
-            "e": ~mask[1:-1, 2:][row, c1],
-            "n": _per_run(~mask[:-2, 1:-1][inner], run_of, columns, count),
-            "s": _per_run(~mask[2:, 1:-1][inner], run_of, columns, count),
-        }
-    )
+    labels, width = _least_labels(inner), inner.shape[1]
+    found = [(MEMBERS, *_stretches(inner))]
+    for side, facing in ((0, mask[:-2, 1:-1]), (2, mask[2:, 1:-1])):
+        found.append((side, *_stretches(inner & ~facing)))
+    for side, facing in ((1, mask[1:-1, 2:]), (3, mask[1:-1, :-2])):
+        row, col = np.nonzero(inner & ~facing)
+        found.append((side, row, col, col))
+    side = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+    row, c0, c1 = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+    # A stretch of one row lies in one area, so its first cell tells the label.
+    label = labels[row, c0]
+    local = (label // width + top).astype(np.int64) * _CODE + label % width + left
+    return pd.DataFrame({"grid_row": row + top, "c0": c0 + left, "c1": c1 + left, "local": local, "side": side})
 
 
 def _label_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +224,7 @@ def _links(runs: DataFrame, chunk: int) -> DataFrame:
     border_row = (row % chunk).isin(0, chunk - 1)
     touches = border_row | (F.col("c0") % chunk == 0) | (F.col("c1") % chunk == chunk - 1)
     rim = (
-        runs.where(touches)
+        runs.where((F.col("side") == MEMBERS) & touches)
         .select("grid_id", "layer", "grid_row", "local", F.explode(F.sequence("c0", "c1")).alias("grid_col"))
         .where(border_row | (col % chunk).isin(0, chunk - 1))
     )
@@ -346,12 +342,12 @@ def _areas(runs: DataFrame, grids: DataFrame, chunk: int, finish_rows: int) -> D
 
 
 def label_areas(cells: DataFrame, grids: DataFrame, chunk: int = CHUNK, finish_rows: int = FINISH_ROWS) -> DataFrame:
-    """8-connected areas of any mask as row runs.
+    """8-connected areas of any mask as row runs (grid_id, layer, grid_row, c0, c1, side, component_id).
 
-    One row per run of members inside a chunk: (grid_id, layer, grid_row, c0, c1, w, e, n, s,
-    component_id), where w, e tell whether the ends and n, s which columns of the upper and lower
-    side face no member. Chunks are labelled in parallel, areas that touch across chunk borders are
-    linked by an equi-join of the border cells only. The result does not depend on partitioning.
+    A run with `side` = MEMBERS holds the cells c0..c1 of one row inside a chunk, the others are
+    cells whose side 0 north, 1 east, 2 south, 3 west faces no member. Chunks are labelled in
+    parallel, areas that touch across chunk borders are linked by an equi-join of the border cells
+    only. The result does not depend on partitioning.
     """
     mask = cells.select(
         "grid_id", F.col("layer").cast("int").alias("layer"), "grid_row", "grid_col", F.lit(1).alias("band")
@@ -376,24 +372,16 @@ def label_layers(
 
 def area_cells(areas: DataFrame) -> DataFrame:
     """Cells of labelled runs, (grid_id, layer, grid_row, grid_col, component_id)."""
-    return areas.select(
+    members = areas.where(F.col("side") == MEMBERS)
+    return members.select(
         "grid_id", "layer", "grid_row", F.explode(F.sequence("c0", "c1")).alias("grid_col"), "component_id"
     )
 
 
 def area_sides(areas: DataFrame) -> DataFrame:
     """Sides of labelled runs that face no member, like `boundary_sides` with `component_id`."""
-
-    def listed(side: int, columns: str) -> Column:
-        return F.transform(columns, lambda c: F.struct(F.lit(side).alias("side"), c.alias("col")))
-
-    def end(side: int, is_open: str, column: str) -> Column:
-        one = F.array(F.struct(F.lit(side).alias("side"), F.col(column).alias("col")))
-        return F.when(F.col(is_open), one).otherwise(F.slice(one, 1, 0))
-
-    sides = F.concat(listed(0, "n"), end(1, "e", "c1"), listed(2, "s"), end(3, "w", "c0"))
-    return areas.withColumn("_s", F.explode(sides)).select(
-        "grid_id", "layer", "grid_row", F.col("_s.col").alias("grid_col"), "component_id", F.col("_s.side").alias("side")
+    return areas.where(F.col("side") != MEMBERS).select(
+        "grid_id", "layer", "grid_row", F.explode(F.sequence("c0", "c1")).alias("grid_col"), "component_id", "side"
     )
 
 

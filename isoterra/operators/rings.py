@@ -264,7 +264,7 @@ def side_rings(
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         if not pdf["own"].any():
-            return pd.DataFrame({c.split()[0]: [] for c in _TRACED.split(", ")})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in _TRACED.split(", ")})
         return _trace_chunk(pdf, compact)
 
     traced = cut(
