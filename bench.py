@@ -19,11 +19,21 @@ from isoterra.operators.levels import contour_levels, layer_cells, layer_counts
 from isoterra.operators.mesh import validate_mesh
 from isoterra.operators.rings import area_rings
 from isoterra.plans.products import Job, contour_product, layered_solid, terrain_mesh
+from isoterra.spread import cut
+
+
+_stored: dict[str, object] = {}
+
+
+def load(spark, sf):
+    """Store the large rough fixture grid once, as a scan of tiles would."""
+    _stored["grid"] = cut(fixtures.big(spark, sf))
+    return _stored["grid"]
 
 
 def big(spark, sf):
-    """The large rough fixture grid with its geometry, levels and layer members."""
-    grid, frame = fixtures.big(spark, sf), fixtures.derived(spark, sf, "big_grids")
+    """The stored grid with its geometry and levels."""
+    grid, frame = _stored["grid"], fixtures.derived(spark, sf, "big_grids")
     levels = contour_levels(elevation_range(grid), 7)
     return grid, frame, levels
 
@@ -57,6 +67,7 @@ def big_surface(spark, sf):
 
 
 HEADLINES = {
+    "load_grid": load,
     "repair_outliers": lambda spark, sf: repair_outliers(big(spark, sf)[0]),
     "layer_counts": big_counts,
     "layer_cells": lambda spark, sf: big_members(spark, sf)[0],

@@ -291,10 +291,10 @@ def j5(spark, sf):
     "j6_eviction_plan",
     oracle("cache_entries")
     + """, r as (select *, coalesce(sum(bytes) over (order by cache_time, cache_key rows between unbounded preceding and 1 preceding), 0) freed from cache_entries)
-select cache_key, bytes, cast(freed as bigint) as freed_before from r where (select sum(bytes) from cache_entries) - freed > 6000000""",
+select cache_key, bytes, cast(freed as bigint) as freed_before from r where (select sum(bytes) from cache_entries) - freed > 600000""",
 )
 def j6(spark, sf):
-    plan = logs.eviction_plan(derived(spark, sf, "cache_entries"), 6_000_000)
+    plan = logs.eviction_plan(derived(spark, sf, "cache_entries"), 600_000)
     return plan.select("cache_key", "bytes", "freed_before")
 
 

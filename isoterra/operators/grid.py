@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoterra.spread import attach
+from isoterra.spread import attach, cut
 
 CELL = ["grid_id", "grid_row", "grid_col"]
 GEOMETRY = ["x0", "dx", "rx", "y0", "ry", "dy"]
@@ -236,6 +236,8 @@ def level_diagnostics(grid: DataFrame, levels: DataFrame) -> DataFrame:
     """
     from isoterra.operators.levels import band_histogram
 
+    # Read twice and usually derived from a grid: a few rows written spare a scan of it.
+    levels = cut(levels)
     under = Window.partitionBy("grid_id").orderBy("level_index").rowsBetween(Window.unboundedPreceding, 0)
     spans = grid_diagnostics(grid).select("grid_id", "min_elev", "max_elev")
     # Band b lies directly under level b, so the bands 0..i hold the cells under level i.

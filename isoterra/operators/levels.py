@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoterra.operators.grid import CELL
-from isoterra.spread import attach
+from isoterra.spread import attach, cut
 
 # Fallback half range, tolerance of an inserted level, smallest layer area.
 FALLBACK_HALF_RANGE = 50.0
@@ -110,17 +110,23 @@ def plain_levels(ranges: DataFrame, n: int, strategy: str = "uniform") -> DataFr
 def _bands(levels: DataFrame) -> DataFrame:
     """Disjoint bands: band b holds the cells that reach exactly b levels; band 0 lies under all of them."""
     order = Window.partitionBy("grid_id").orderBy("level_index")
-    own = levels.select(
+    around = levels.select(
         "grid_id",
-        (F.col("level_index") + 1).alias("band"),
-        F.col("lower").alias("_from"),
-        F.coalesce(F.lead("lower").over(order), F.lit(float("inf"))).alias("_below"),
-    )
-    under = levels.groupBy("grid_id").agg(F.min("lower").alias("_below"))
-    return own.unionByName(
-        under.select("grid_id", F.lit(0).alias("band"), F.lit(float("-inf")).alias("_from"), "_below")
+        "level_index",
+        "lower",
+        F.lag("lower").over(order).alias("_before"),
+        F.coalesce(F.lead("lower").over(order), F.lit(float("inf"))).alias("_after"),
     )
 
+    def band(number: Column, start: Column, end: Column) -> Column:
+        return F.struct(number.cast("int").alias("band"), start.alias("_from"), end.alias("_below"))
+
+    lower = F.col("lower")
+    own = band(F.col("level_index") + 1, lower, F.col("_after"))
+    under = band(F.lit(0), F.lit(float("-inf")), lower)
+    bands = F.when(F.col("_before").isNull(), F.array(under, own)).otherwise(F.array(own))
+    return around.select("grid_id", F.explode(bands).alias("_b")).select("grid_id", "_b.*")
+
 
 def banded_cells(grid: DataFrame, levels: DataFrame) -> DataFrame:
     """Each valid cell with its band = number of layers it belongs to (one output row per cell)."""
@@ -154,6 +160,8 @@ def layer_counts(grid: DataFrame, levels: DataFrame) -> DataFrame:
     One pass over the grid: cells are counted per disjoint band, then summed from the top over the
     few bands of a grid, instead of one scan or one exploded copy per layer.
     """
+    # Read twice and usually derived from the grid itself: a few rows written spare a scan of it.
+    levels = cut(levels)
     counts = band_histogram(grid, levels)
     rows = levels.select("grid_id", (F.col("level_index") + 1).alias("band"), "lower").join(
         counts, ["grid_id", "band"], "full"
