@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoterra.operators.components import MASK, _open_sides
 from isoterra.operators.grid import GEOMETRY
 from isoterra.operators.mesh import Mesh
-from isoterra.spread import attach
+from isoterra.spread import attach, cut
 
 _SIDES = ("_n", "_e", "_s", "_w")
 
@@ -18,11 +18,13 @@ def extrude_layers(cells: DataFrame, slabs: DataFrame, grids: DataFrame, block:
 
     Two triangles on top and below every cell, two on every side that faces no member; holes of the
     mask get their own walls (use `filled_cells` first for layers without holes). All of it follows
-    from one cell and its open sides, so after two windows no further join is needed. Where two cells
+    from one cell and its open sides, so after two windows no further shuffle is needed. Where two cells
     touch only at a corner each keeps its own copy of that corner, so no edge has four triangles.
     """
     open_sides = _open_sides(cells.select(*MASK), "grid_row", "grid_col", "_w", "_e", block)
     open_sides = _open_sides(open_sides, "grid_col", "grid_row", "_n", "_s", block)
+    # Vertices and triangles are two tables of the same cells: the windows run once.
+    open_sides = cut(open_sides)
     slab = slabs.select("grid_id", "layer", "z_base", "z_top")
     placed = attach(open_sides, slab, ["grid_id", "layer"], ["grid_row", "grid_col"])
     placed = attach(placed, grids.select("grid_id", *GEOMETRY, "width"), ["grid_id"], ["grid_row", "grid_col"])
