@@ -283,7 +283,7 @@ def b6_geometry(spark, sf):
 @query(
     "b7_with_coords",
     oracle("dem")
-    + """select grid_id, grid_row, grid_col, elev, round(-151.0 + (grid_col + 0.5) * 0.01, 6) as x, round(63.0 - (grid_row + 0.5) * 0.01, 6) as y from dem""",
+    + """select grid_id, grid_row, grid_col, elev, round(cast(-151.0 + (grid_col + 0.5) * 0.01 as double), 6) as x, round(cast(63.0 - (grid_row + 0.5) * 0.01 as double), 6) as y from dem""",
 )
 def b7(spark, sf):
     return rounded(grid.with_coords(dem(spark, sf), grids(spark, sf), center=True), "x", "y")

@@ -97,7 +97,7 @@ def c8(spark, sf):
     return rounded(polygons.layer_stats(loop_metrics(spark, sf)), "area", digits=4)
 
 
-LAYER_SQL = """, heights as (select 'g0' grid_id, cast(i as int) layer, 100.0 + i * 50 elevation from range(0, 8) t(i)),
+LAYER_SQL = """, heights as (select 'g0' grid_id, cast(i as int) layer, cast(100.0 + i * 50 as double) elevation from range(0, 8) t(i)),
 sums as (select grid_id, layer, count(*) polygons, sum(area) area, cast(sum(vertices) as bigint) vertices from loop_metrics group by all),
 tabled as (select h.grid_id, h.layer, h.elevation, coalesce(polygons, 0) polygons, coalesce(area, 0.0) area, coalesce(vertices, 0) vertices from heights h left join sums using (grid_id, layer)),
 numbered as (select *, cast(row_number() over (partition by grid_id order by elevation) as int) layer_number from tabled where polygons > 0 and abs(area) >= 1e-12 and area >= 1e-12)"""
@@ -164,7 +164,7 @@ def c11(spark, sf):
 
 @query(
     "c11_laser_slabs",
-    oracle("levels") + "select level_index as layer, round(level_index * 3.2, 6) as z_base, round((level_index + 1) * 3.2, 6) as z_top from levels",
+    oracle("levels") + "select level_index as layer, round(cast(level_index * 3.2 as double), 6) as z_base, round(cast((level_index + 1) * 3.2 as double), 6) as z_top from levels",
 )
 def c11_laser(spark, sf):
     rows = levels(spark, sf).select("grid_id", F.col("level_index").alias("layer"), F.col("lower").alias("elevation"))

@@ -35,7 +35,7 @@ def f1(spark, sf):
 @query(
     "f1_heightmap_vertices",
     oracle("pairs") + ", " + WINDOWED
-    + " select mesh_id, cast(vid as bigint) as vid, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from vert",
+    + " select mesh_id, cast(vid as bigint) as vid, round(cast(x as double), 6) as x, round(cast(y as double), 6) as y, round(z, 6) as z from vert",
 )
 def f1_vertices(spark, sf):
     return rounded(surface(spark, sf).vertices, "x", "y", "z")
@@ -44,8 +44,8 @@ def f1_vertices(spark, sf):
 @query(
     "f1_heightmap_flat",
     oracle("pairs")
-    + """select grid_id as mesh_id, cast((r * 50 + c) * 4 + k as bigint) as vid, round(-151.0 + (c + k % 2) * 0.01, 6) as x,
-round(63.0 - (r + k // 2) * 0.01, 6) as y, greatest(z00, z10, z01, z11) as z from pairs, range(0, 4) t(k) where greatest(z00, z10, z01, z11) >= 600""",
+    + """select grid_id as mesh_id, cast((r * 50 + c) * 4 + k as bigint) as vid, round(cast(-151.0 + (c + k % 2) * 0.01 as double), 6) as x,
+round(cast(63.0 - (r + k // 2) * 0.01 as double), 6) as y, greatest(z00, z10, z01, z11) as z from pairs, range(0, 4) t(k) where greatest(z00, z10, z01, z11) >= 600""",
 )
 def f1_flat(spark, sf):
     made = heightmap.heightmap_triangles(clean(spark, sf), grids(spark, sf), "flat", min_elev=600.0)
