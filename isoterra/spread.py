@@ -6,7 +6,6 @@ table, goes through this module so the scale decisions live in one place.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -26,11 +25,15 @@ BLOCK = 8192
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one is made only when unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, as in tests, a folder below the warehouse serves, which every executor sees; it
+    is never a machine-local temporary folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="isoterra-checkpoint-"))
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/isoterra-checkpoints")
     return context.getCheckpointDir()
 
 
