@@ -14,6 +14,7 @@ from isoterra.llm.contamination import find_contamination
 from isoterra.llm.fertility import judge_names
 from isoterra.llm.language import held_out, identify_language
 from isoterra.llm.packing import pack_places
+from isoterra.llm.repeats import repeated_runs
 from isoterra.llm.secrets import BASE, RULES, find_secrets, span_text
 from isoterra.llm.simhash import near_copies
 from isoterra.llm.surrogates import replace_personal
@@ -78,6 +79,11 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(h.n, 0) as bigi
 from doc d left join hit h on h.doc_id = d.doc_id left join named n on n.doc_id = d.doc_id"""
 
 
+def op3_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    exports = table(spark, sf, "documents", F.col("doc_id").alias("export_id"), F.col("text").alias("value"))
+    return repeated_runs(exports).drop("kept").withColumnRenamed("export_id", "doc_id")
+
+
 def op4_fertility(spark: SparkSession, sf: str) -> DataFrame:
     places = as_places(table(spark, sf, "documents", "doc_id", "text"))
     judged = judge_names(places, public_tokenizers.path("piece_bpe_32k.model"))
@@ -175,7 +181,7 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_decontamination, op4_fertility, op5_surrogates, op6_secrets, op7_archive, op8_packing,
+        op1_simhash, op2_decontamination, op3_repeats, op4_fertility, op5_surrogates, op6_secrets, op7_archive, op8_packing,
         op9_token_files, op10_language,
     )
 }
