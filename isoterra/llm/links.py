@@ -1,4 +1,4 @@
-"""Connected groups from links, by rounds of joins."""
+"""Connected groups from links, by rounds that contract them."""
 
 from __future__ import annotations
 
@@ -11,24 +11,28 @@ from isoterra.spread import cut
 def smallest_reachable(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): the smallest node that can be reached.
 
-    Every round a node takes the smallest label among its neighbours, and then the label of that label,
-    so distances shrink by more than half in most rounds. Minima are combined before the shuffle, so a
-    node with very many links sends one row per task. Rounds are written to the shared folder and end
-    when no label changes; no task and not the driver holds a whole group.
+    In a round every node goes to its smallest neighbour, if that is smaller, and from there one step
+    on; links are rewritten to where their ends went, and those inside one group vanish. At least half
+    of the linked nodes vanish in every round, so rounds are few and each is smaller than the one
+    before. Minima are combined before the shuffle, so a node with very many links sends one row per
+    task. Rounds are written to the shared folder; no task and not the driver holds a whole group.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        offered = (
-            both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("_offer"))
-        )
-        taken = labels.join(offered, "node", "left").select(
-            "node", F.col("root").alias("_old"), F.least("root", F.coalesce("_offer", "root")).alias("_near")
-        )
-        above = labels.select(F.col("node").alias("_near"), F.col("root").alias("_far"))
-        moved = cut(
-            taken.join(above, "_near", "left").select("node", "_old", F.least("_near", F.coalesce("_far", "_near")).alias("root"))
-        )
-        labels = moved.select("node", "root")
-        if moved.where("root <> _old").isEmpty():
-            return labels
+    steps: list[DataFrame] = []
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    while not steps or not links.isEmpty():
+        both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+        near = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("near"))
+        near = cut(near)
+        onward = near.select(F.col("node").alias("near"), F.col("near").alias("root"))
+        moved = cut(near.join(onward, "near").select("node", "root"))
+        steps.append(moved)
+        for end in ("a", "b"):
+            links = links.join(moved.withColumnsRenamed({"node": end, "root": f"_{end}"}), end)
+        ends = links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        links = cut(ends.where("a <> b").distinct())
+    # A root of one round is a node of the next one, unless its group was complete.
+    labels = steps[0]
+    for step in steps[1:]:
+        later = step.select(F.col("node").alias("root"), F.col("root").alias("_later"))
+        labels = labels.join(later, "root", "left").select("node", F.coalesce("_later", "root").alias("root"))
+    return labels
