@@ -161,7 +161,7 @@ def _places(text: Column, number: int, rule: Rule) -> Column:
 
 
 def find_secrets(log: DataFrame, rules: Sequence[Rule] = RULES, key: str = "entry_id", line: str = "line") -> DataFrame:
-    """All columns of the log and `secrets`: array of (start, number, end), ordered, `number` being the rule's.
+    """All columns of the log and `secrets` (in place of a column of that name): array of (start, number, end), ordered, `number` being the rule's.
 
     Matches are leftmost and do not overlap within a rule; places count code points, the end is
     exclusive. Rules with mandatory trigrams are verified only in entries that the index names for them;
@@ -176,17 +176,18 @@ def find_secrets(log: DataFrame, rules: Sequence[Rule] = RULES, key: str = "entr
     if indexed:
         # The index is written once: the candidates stay the same whatever task is repeated.
         postings = cut(trigram_index(log, trigrams, key, line))
-        named_entries = candidates(postings, indexed).withColumnRenamed("entry", "_named")
+        named_entries = candidates(postings, indexed).select(F.col("entry").alias("_named"), F.col("kinds").alias("_kinds"))
         rows = rows.join(named_entries, rows["_entry"].eqNullSafe(named_entries["_named"]), "left")
     else:
-        rows = rows.withColumn("kinds", F.array().cast("array<string>"))
+        rows = rows.withColumn("_kinds", F.array().cast("array<string>"))
     none = F.array().cast("array<struct<start: int, number: int, end: int>>")
     found = []
     for n, rule in enumerate(rules):
-        asked = F.array_contains("kinds", rule.kind) if queries[rule.kind] else F.lit(True)
+        asked = F.array_contains("_kinds", rule.kind) if queries[rule.kind] else F.lit(True)
         found.append(F.when(asked & F.col("_line").rlike(rule.pattern), _places(F.col("_line"), n, rule)).otherwise(none))
     every = functools.reduce(F.concat, found)
-    return rows.withColumn("secrets", F.array_sort(every)).select(*log.columns, "secrets")
+    kept = [c for c in log.columns if c != "secrets"]
+    return rows.select(*kept, F.array_sort(every).alias("secrets"))
 
 
 def span_text(secrets: Column, rules: Sequence[Rule] = RULES) -> Column:

@@ -35,7 +35,7 @@ ENDINGS = {
 }
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 SUSPECT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(^|[^\p{{L}}])({_TITLE})\.? \p{{Lu}}"
-_EMAIL = r"(?P<email>[\w.%+-]*\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+_EMAIL = r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 _IP = r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
 _PHONE = r"(?P<phone>\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,4}(?!\d)|(?<![\d.-])\(\d{2,4}\) ?\d{3}[ -]?\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-]))"
 _SSN = r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -207,7 +207,8 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
 
 def replace_personal(responses: DataFrame, key: bytes, response_id: str = "response_id", body: str = "body") -> DataFrame:
-    """All columns of the responses, `body` with surrogates, and `entities`: their count by kind.
+    """All columns of the responses, `body` with surrogates, and `entities`: their count by kind
+    (in place of a column of that name).
 
     Mail, network and phone addresses, identity, account and card numbers keep format and separators,
     cards and accounts their check digits; names after a form of address keep script, gender and capitals.
@@ -218,6 +219,7 @@ def replace_personal(responses: DataFrame, key: bytes, response_id: str = "respo
     """
     kind = "kind string, canonical string, gender string"
     counts = "map<string,long>"
+    responses = responses.drop("entities")
     entry = F.xxhash64(F.col(response_id), F.col(body))
     suspicious = F.coalesce(F.col(body).rlike(SUSPECT), F.lit(False))
     suspects = responses.where(suspicious).withColumn("_entry", entry)
