@@ -292,10 +292,15 @@ def b7(spark, sf):
 @query(
     "b8_project_local",
     oracle("locations")
-    + """select loc_id, round((lon - 10.0) * 111320.0 * cos(radians(45.0)), 6) as lon, round((lat - 45.0) * 110540.0, 6) as lat from locations""",
+    + """select 'degrees' grid_id, loc_id, round((lon - 10.0) * 111320.0 * cos(radians(45.0)), 6) as lon, round((lat - 45.0) * 110540.0, 6) as lat from locations
+union all select 'metres' grid_id, loc_id, round(lon * 37, 6) as lon, round(lat * 53, 6) as lat from locations""",
 )
 def b8(spark, sf):
-    return rounded(grid.project_local(derived(spark, sf, "locations"), 10.0, 45.0, "lon", "lat"), "lon", "lat")
+    """A grid in degrees, and one in metres around the origin that has points within 360 and 180 of it."""
+    degrees = derived(spark, sf, "locations").withColumn("grid_id", F.lit("degrees"))
+    metres = degrees.withColumns({"grid_id": F.lit("metres"), "lon": F.col("lon") * 37, "lat": F.col("lat") * 53})
+    both = degrees.unionByName(metres)
+    return rounded(grid.project_local(both, 10.0, 45.0, "lon", "lat", by=["grid_id"]), "lon", "lat").select("grid_id", "loc_id", "lon", "lat")
 
 
 SAMPLE_SQL = """placed as (select {keys}, (x - -151.0) / 0.01 px, (y - 63.0) / -0.01 py, x, y from {points}),

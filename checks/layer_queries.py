@@ -384,7 +384,7 @@ def k1(spark, sf):
 @query(
     "k2_feature_table",
     oracle("loop_metrics")
-    + """select polygon_id, cast(round(elevation, 2) as decimal(12,2)) as elevation, layer_number, round(exterior_area, 3) as area, round(perimeter, 3) as perimeter
+    + """select polygon_id, cast(round(elevation, 2) as decimal(12,2)) as elevation, layer_number, round(cast(cast(exterior_area as decimal(16,4)) as double), 3) as area, round(cast(cast(perimeter as decimal(16,4)) as double), 3) as perimeter
 from (select grid_id, layer, polygon_id, 100.0 + layer * 50 elevation, cast(dense_rank() over (order by layer) as int) layer_number, exterior_area, perimeter from loop_metrics) t""",
 )
 def k2(spark, sf):
@@ -396,16 +396,25 @@ def k2(spark, sf):
         "layer_number", F.dense_rank().over(Window.partitionBy("grid_id").orderBy("layer"))
     )
     table = features.feature_table(points, layers)
-    metric = polygons.polygon_metrics(points).select("grid_id", "layer", "polygon_id", "exterior_area", F.col("perimeter").alias("_p"))
     # The table rounds to four decimals; three are compared so that sums in another order still agree.
-    return table.join(metric, ["grid_id", "layer", "polygon_id"]).select(
-        "polygon_id", "elevation", "layer_number", F.round("exterior_area", 3).alias("area"), F.round("_p", 3).alias("perimeter")
-    )
+    return table.select(
+        "polygon_id", "elevation", "layer_number",
+        F.round(F.col("area").cast("double"), 3).alias("area"), F.round(F.col("perimeter").cast("double"), 3).alias("perimeter"),
+    )
 
 
-@query("k2_feature_wkt")
+@query(
+    "k2_feature_wkt",
+    oracle("loops")
+    + """, told as (select *, format('{:.6g} {:.6g}', x, y) p from loops),
+rings as (select grid_id, layer, polygon_id, ring_id, '(' || string_agg(p, ', ' order by seq) || ', ' || first(p order by seq) || ')' r from told group by all)
+select grid_id, layer, polygon_id, 'POLYGON (' || string_agg(r, ', ' order by ring_id) || ')' wkt from rings group by all""",
+)
 def k2_wkt(spark, sf):
-    return features.feature_table(*numbered(spark, sf))
+    parts = features.feature_geometry(loops(spark, sf))
+    whole = F.array_sort(F.collect_list(F.struct("ring_id", "part", "value")))
+    texts = parts.groupBy("grid_id", "layer", "polygon_id").agg(whole.alias("_p"))
+    return texts.select("grid_id", "layer", "polygon_id", F.array_join(F.transform("_p", lambda p: p["value"]), "").alias("wkt"))
 
 
 @query("k3_svg")

@@ -26,12 +26,12 @@ def _whole(size: Column, scale: Column, scaled: Column) -> Column:
     return scaled.cast("long") + F.when((part > 0.5) | ((part == 0.5) & tie_up), 1).otherwise(0)
 
 
-def _written(value: Column, whole: Column, places: Column, scaled: Column) -> Column:
-    """Sign, digits and decimal point; values beyond exact whole numbers use the Java format."""
+def _written(value: Column, whole: Column, places: Column, scaled: Column, beyond: int) -> Column:
+    """Sign, digits and decimal point; values beyond exact whole numbers use the Java format with `beyond` decimals."""
     number = F.lpad(whole.cast("string"), F.greatest(F.length(whole.cast("string")), places + 1), "0")
     back = F.when(places > 0, F.concat(F.lit("."), F.right(number, places))).otherwise("")
     text = F.concat(F.when(value < 0, "-").otherwise(""), F.left(number, F.length(number) - places), back)
-    return F.when(scaled < 2.0**52, text).otherwise(F.format_string("%.8f", value))
+    return F.when(scaled < 2.0**52, text).otherwise(F.format_string(f"%.{beyond}f", value))
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -72,7 +72,7 @@ def with_text(df: DataFrame, columns: Sequence[str], digits: int | None = None)
     whole = scaled.withColumns(staged("whole", lambda c: _whole(col(c, "size"), col(c, "scale"), col(c, "scaled"))))
 
     def text(c: str) -> Column:
-        written = _written(F.col(c), col(c, "whole"), col(c, "places"), col(c, "scaled"))
+        written = _written(F.col(c), col(c, "whole"), col(c, "places"), col(c, "scaled"), digits or 0)
         if digits is not None:
             return written
         return F.regexp_replace(F.regexp_replace(written, r"(\.\d*?)0+$", "$1"), r"\.$", "")

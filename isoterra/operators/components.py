@@ -289,7 +289,7 @@ def _contract(links: DataFrame) -> DataFrame:
     while True:
         above = hooked.select("grid_id", "layer", F.col("local").alias("root"), F.col("root").alias("_next"))
         # Many areas may hook on one, so the lookup salts hot roots.
-        jumped = lookup(hooked, above, ["grid_id", "layer", "root"], ["local"]).select(
+        jumped = lookup(hooked, above, ["grid_id", "layer", "root"]).select(
             "grid_id", "layer", "local", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")
         )
         jumped = cut(jumped)
@@ -313,7 +313,7 @@ def link_roots(links: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
         ends = links
         for end in ("a", "b"):
             to = roots.select("grid_id", "layer", F.col("local").alias(end), F.col("root").alias(f"_{end}"))
-            ends = lookup(ends, to, ["grid_id", "layer", end], ["a", "b"])
+            ends = lookup(ends, to, ["grid_id", "layer", end])
         links = cut(
             ends.where("_a != _b")
             .select("grid_id", "layer", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
@@ -322,7 +322,7 @@ def link_roots(links: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
     result = links.groupBy("grid_id", "layer").applyInPandas(_merge_links, _MERGED)
     for roots in reversed(rounds):
         later = result.select("grid_id", "layer", F.col("local").alias("root"), F.col("root").alias("_later"))
-        result = lookup(roots, later, ["grid_id", "layer", "root"], ["local"], "left").select(
+        result = lookup(roots, later, ["grid_id", "layer", "root"], "left").select(
             "grid_id", "layer", "local", F.coalesce("_later", "root").alias("root")
         )
     return result

@@ -7,6 +7,8 @@ x = x0 + col*dx + row*rx and y = y0 + col*ry + row*dy.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,13 +298,21 @@ def with_coords(df: DataFrame, grids: DataFrame, center: bool = False, row: str
     )
 
 
-def project_local(df: DataFrame, lon0: Column | float, lat0: Column | float, x: str = "x", y: str = "y") -> DataFrame:
-    """Degrees to metres about a centre; rows that are no degrees (|x| > 360 or |y| > 180) stay as they are."""
+def project_local(
+    df: DataFrame, lon0: Column | float, lat0: Column | float, x: str = "x", y: str = "y", by: Sequence[str] = ()
+) -> DataFrame:
+    """Degrees to metres about a centre, decided once for every set of rows with equal `by` columns.
+
+    A set with any row that is no degrees (|x| > 360 or |y| > 180) is projected already and stays as it is,
+    its rows near the origin included. The sets are told apart by one aggregate with a row per set.
+    """
     lon0 = lon0 if isinstance(lon0, Column) else F.lit(lon0)
     lat0 = lat0 if isinstance(lat0, Column) else F.lit(lat0)
-    projected = (F.abs(F.col(x)) > 360.0) | (F.abs(F.col(y)) > 180.0)
+    beyond = F.max((F.abs(F.col(x)) > 360.0) | (F.abs(F.col(y)) > 180.0)).alias("_projected")
+    keys = list(by) or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(1))
+    marked = attach(rows, rows.groupBy(*keys).agg(beyond), keys, [x, y])
     east = (F.col(x) - lon0) * METRES_PER_DEGREE_LON * F.cos(F.radians(lat0))
     north = (F.col(y) - lat0) * METRES_PER_DEGREE_LAT
-    return df.withColumns(
-        {x: F.when(projected, F.col(x)).otherwise(east), y: F.when(projected, F.col(y)).otherwise(north)}
-    )
+    moved = marked.withColumns({x: F.when(F.col("_projected"), F.col(x)).otherwise(east), y: F.when(F.col("_projected"), F.col(y)).otherwise(north)})
+    return moved.select(*df.columns)

@@ -47,7 +47,7 @@ def with_corners(mesh: Mesh) -> DataFrame:
     All three corners are looked up in one join, with hot vertices salted, so the vertex table is
     shuffled once.
     """
-    found = lookup(_by_corner(mesh.triangles), mesh.vertices, ["mesh_id", "vid"], ["tid"], "left")
+    found = lookup(_by_corner(mesh.triangles), mesh.vertices, ["mesh_id", "vid"], "left")
     return _regroup(found, {"v": F.col("vid"), "x": F.col("x"), "y": F.col("y"), "z": F.col("z")})
 
 
@@ -58,10 +58,10 @@ def dedup_vertices(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> Mesh:
     keys = ["mesh_id", *places]
     # The lowest vid per place is combined before the shuffle, so many copies of one point stay cheap.
     first = keyed.groupBy(*keys).agg(F.min("vid").alias("_first"))
-    renamed = lookup(keyed, first, keys, ["vid"]).select(*mesh.vertices.columns, "_first")
+    renamed = lookup(keyed, first, keys).select(*mesh.vertices.columns, "_first")
     kept = renamed.where(F.col("vid") == F.col("_first")).drop("_first")
     mapping = renamed.select("mesh_id", "vid", "_first")
-    moved = lookup(_by_corner(mesh.triangles), mapping, ["mesh_id", "vid"], ["tid"])
+    moved = lookup(_by_corner(mesh.triangles), mapping, ["mesh_id", "vid"])
     triangles = _regroup(moved, {"v": F.col("_first")})
     return Mesh(kept, triangles.select(*TRIANGLE, *CORNERS))
 

@@ -151,7 +151,7 @@ def rasterize(
         "grid_id", "layer", color_rgb(F.col("elevation"), F.col("_lo"), F.col("_hi"), scheme).alias("_c")
     )
     top = cells.groupBy("grid_id", "grid_row", "grid_col").agg(F.max("layer").alias("layer"))
-    found = lookup(based, top, ["grid_id", "grid_row", "grid_col"], ["px", "py"], "left")
+    found = lookup(based, top, ["grid_id", "grid_row", "grid_col"], "left")
     painted = attach(found, colored, ["grid_id", "layer"], ["px", "py"], "left")
     channels = [F.coalesce(F.col(f"_c.{c}"), F.lit(v)).alias(c) for c, v in zip("rgb", background)]
     alpha = F.when(F.col("_c").isNotNull(), 255).otherwise(F.lit(background[3])).alias("a")

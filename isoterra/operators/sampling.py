@@ -61,7 +61,7 @@ def sample_bilinear(points: DataFrame, grid: DataFrame, grids: DataFrame) -> Dat
     )
     base = based.where(F.col("base_row").isNotNull()).select("grid_id", "base_row", "base_col").distinct()
     corners = _corner_values(base, grid)
-    valued = lookup(based, corners, ["grid_id", "base_row", "base_col"], ["x", "y"], "left")
+    valued = lookup(based, corners, ["grid_id", "base_row", "base_col"], "left")
     fx, fy = F.col("_px") - F.col("base_col"), F.col("_py") - F.col("base_row")
     bilinear = (
         F.col("z00") * (1 - fx) * (1 - fy)

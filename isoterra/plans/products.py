@@ -133,15 +133,15 @@ def terrain_mesh(grid: DataFrame, grids: DataFrame, job: Job = Job(), jobs: Data
 
 
 def _in_metres(mesh: Mesh, grids: DataFrame) -> Mesh:
-    """Vertices of grids in degrees to metres about the middle of their grid."""
+    """Vertices of layer solids (mesh `grid#layer`) in degrees to metres about the middle of their grid."""
     middle = grids.select(
         "grid_id",
         (F.col("x0") + F.col("dx") * F.col("width") / 2.0).alias("_lon"),
         (F.col("y0") + F.col("dy") * F.col("height") / 2.0).alias("_lat"),
     )
-    keyed = mesh.vertices.withColumn("grid_id", F.substring_index("mesh_id", "#", 1))
+    keyed = mesh.vertices.withColumn("grid_id", F.regexp_replace("mesh_id", "#[^#]*$", ""))
     placed = attach(keyed, middle, ["grid_id"], ["vid"])
-    vertices = project_local(placed, F.col("_lon"), F.col("_lat")).select("mesh_id", "vid", "x", "y", "z")
+    vertices = project_local(placed, F.col("_lon"), F.col("_lat"), by=["grid_id"]).select("mesh_id", "vid", "x", "y", "z")
     return Mesh(vertices, mesh.triangles)
 
 

@@ -1,4 +1,4 @@
-"""Polygon features as a table with attributes and WKT geometry."""
+"""Polygon features as a table with attributes and a table with WKT geometry."""
 
 from __future__ import annotations
 
@@ -7,39 +7,37 @@ from pyspark.sql import functions as F
 
 from isoterra.functions.numbers import with_text
 from isoterra.operators.polygons import POLYGON, polygon_metrics
-from isoterra.sinks.text import ring_parts
+from isoterra.sinks.text import LAST, ring_parts
 from isoterra.spread import attach
 
-# A geometry with more vertices is left to `wkt_parts`: a single value cannot grow without bound.
-WHOLE_VERTICES = 1_000_000
+PART = ["ring_id", "part"]
 
 
-def wkt_parts(ring_points: DataFrame) -> DataFrame:
-    """WKT of every polygon in pieces (polygon columns, ring_id, part, value); in order they give the text."""
+def feature_geometry(ring_points: DataFrame) -> DataFrame:
+    """WKT of every polygon in pieces (polygon columns, ring_id, part, value).
+
+    In order of ring and part the values, put together, are the whole text, however many points a
+    polygon has; no row holds more than a block of a ring.
+    """
     written = with_text(ring_points, ["x", "y"])
     pair = F.concat(F.col("x_text"), F.lit(" "), F.col("y_text"))
     opening = F.when(F.col("ring_id") == 0, "POLYGON ((").otherwise(", (")
     # Every polygon has one exterior and it comes first; its holes follow, then the last bracket.
-    closing = F.concat(F.lit(", "), pair, F.lit(")"))
-    return ring_parts(written, pair, ", ", opening, closing)
+    parts = ring_parts(written, pair, ", ", opening, F.concat(F.lit(", "), pair, F.lit(")")))
+    ends = ring_points.where("ring_id = 0 and seq = 0").select(
+        *POLYGON, *[F.lit(LAST).cast("long").alias(c) for c in PART], F.lit(")").alias("value")
+    )
+    return parts.unionByName(ends.select(*parts.columns))
 
 
-def feature_table(ring_points: DataFrame, layers: DataFrame, whole_vertices: int = WHOLE_VERTICES) -> DataFrame:
-    """One row per polygon: elevation (12,2), layer number, exterior area and perimeter (16,4), WKT.
+def feature_table(ring_points: DataFrame, layers: DataFrame) -> DataFrame:
+    """One row per polygon: elevation (12,2), layer number, exterior area and perimeter (16,4).
 
-    The geometry of polygons above `whole_vertices` is NULL here and complete in `wkt_parts`.
+    Its geometry is in `feature_geometry` under the same polygon columns.
     """
-    metrics = polygon_metrics(ring_points)
-    # Only pieces of bounded polygons are gathered. Polygons above the bound are few, and one may hold
-    # most of the points, so they are marked by a size-checked join before any text is made.
-    large = metrics.where(F.col("vertices") > whole_vertices).select(*POLYGON, F.lit(True).alias("_large"))
-    bounded = attach(ring_points, large, POLYGON, ["ring_id", "seq"], "left").where("_large is null").drop("_large")
-    pieces = wkt_parts(bounded)
-    texts = pieces.groupBy(*POLYGON).agg(F.array_sort(F.collect_list(F.struct("ring_id", "part", "value"))).alias("_p"))
-    geometry = F.concat(F.array_join(F.transform("_p", lambda p: p["value"]), ""), F.lit(")"))
     named = layers.select("grid_id", "layer", "elevation", "layer_number")
-    placed = attach(metrics, named, ["grid_id", "layer"], ["polygon_id"])
-    return placed.join(texts, POLYGON, "left").select(
+    placed = attach(polygon_metrics(ring_points), named, ["grid_id", "layer"], ["polygon_id"])
+    return placed.select(
         "grid_id",
         "layer",
         "polygon_id",
@@ -47,5 +45,11 @@ def feature_table(ring_points: DataFrame, layers: DataFrame, whole_vertices: int
         F.col("layer_number").cast("int").alias("layer_number"),
         F.col("exterior_area").cast("decimal(16,4)").alias("area"),
         F.col("perimeter").cast("decimal(16,4)").alias("perimeter"),
-        F.when(F.col("_p").isNotNull(), geometry).alias("wkt"),
     )
+
+
+def write_features(ring_points: DataFrame, layers: DataFrame, path: str) -> None:
+    """Write both tables as Parquet, `features` and `geometry`, below a folder."""
+    feature_table(ring_points, layers).write.parquet(f"{path}/features")
+    ordered = feature_geometry(ring_points).repartitionByRange(*POLYGON, *PART).sortWithinPartitions(*POLYGON, *PART)
+    ordered.write.parquet(f"{path}/geometry")

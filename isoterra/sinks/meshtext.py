@@ -73,7 +73,7 @@ def _dense_mesh(mesh: Mesh, tol: float) -> tuple[DataFrame, DataFrame]:
     vertices = dense_ids(mesh.vertices, ["mesh_id", "vid"], "n")
     faces = valid_triangles(mesh, tol)
     by_corner = faces.select("mesh_id", "tid", F.posexplode(F.array(*CORNERS)).alias("_k", "vid"))
-    numbered = lookup(by_corner, vertices.select("mesh_id", "vid", "n"), ["mesh_id", "vid"], ["tid"])
+    numbered = lookup(by_corner, vertices.select("mesh_id", "vid", "n"), ["mesh_id", "vid"])
     picks = [F.max(F.when(F.col("_k") == k, F.col("n"))).alias(f"n{k}") for k in range(3)]
     return vertices, numbered.groupBy("mesh_id", "tid").agg(*picks)
 

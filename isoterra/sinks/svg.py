@@ -14,7 +14,7 @@ from isoterra.spread import attach
 
 # Canvas, stroke widths, background.
 WIDTH_MM, MARGIN_MM = 200.0, 10.0
-CUT_STROKE_MM, ALIGNMENT_STROKE_MM = 0.1, 0.05
+CUT_STROKE_MM = 0.1
 BACKGROUND = "white"
 CUT_COLOR = "#ff0000"
 ORDER = ["polygon_id", "ring_id", "part"]
@@ -59,17 +59,9 @@ def svg_lines(
     sheets = present.select("grid_id", "layer").distinct().join(look, ["grid_id", "layer"]).join(size, "grid_id")
     width, height = f"{width_mm:g}", F.col("height_mm_text")
     head = _line(
-        '<?xml version="1.0" encoding="UTF-8" standalone="no"?>\n<svg\n  width="', width, 'mm"\n  height="', height,
-        'mm"\n  viewBox="0 0 ', width, " ", height,
-        '"\n  version="1.1"\n  xmlns="http://www.w3.org/2000/svg"\n'
-        '  xmlns:inkscape="http://www.inkscape.org/namespaces/inkscape">\n'
-        "  <title>Topographic Layers</title>\n  <defs>\n    <style>\n"
-        f"      .cut-line {{ stroke-width: {stroke_mm:g}mm; }}\n"
-        f"      .alignment-mark {{ fill: none; stroke-width: {ALIGNMENT_STROKE_MM:g}mm; }}\n"
-        "      .elevation-label { font-family: Arial, sans-serif; font-size: 3mm; }\n"
-        '    </style>\n  </defs>\n  <rect\n    x="0"\n    y="0"\n    width="', width, '"\n    height="', height,
-        f'"\n    fill="{BACKGROUND}"\n    inkscape:label="Background"\n  />\n  <g id="',
-        F.col("_id"), '" inkscape:label="Layer ', F.col("elevation_text"), 'm">',
+        f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} ', height, f'" width="{width}mm" height="', height,
+        f'mm">\n<path d="M 0 0 H {width} V ', height, f' H 0 Z" fill="{BACKGROUND}"/>\n<g id="', F.col("_id"),
+        f'" stroke="{stroke}" stroke-width="{stroke_mm:g}">\n<desc>', F.col("elevation_text"), " m</desc>",
     )
 
     def frame(at: int, value: Column) -> DataFrame:
@@ -77,12 +69,8 @@ def svg_lines(
         return sheets.select("grid_id", "layer", *ids, value.alias("value"))
 
     polygons = attach(present, look, ["grid_id", "layer"], ["polygon_id"])
-    opacity = F.when(F.col("fill") != "none", _line('      fill-opacity="', F.col("fill_opacity").cast("string"), '"\n'))
-    tail = _line(
-        f'"\n      class="cut-line"\n      stroke="{stroke}"\n      stroke-width="{stroke_mm:g}mm"\n      fill="',
-        F.col("fill"), '"\n', F.coalesce(opacity, F.lit("")),
-        '      inkscape:label="Elevation ', F.col("_id"), '"\n    />',
-    )
+    opacity = F.when(F.col("fill") != "none", _line(' fill-opacity="', F.col("fill_opacity").cast("string"), '"'))
+    tail = _line('" fill="', F.col("fill"), '"', F.coalesce(opacity, F.lit("")), "/>")
 
     def around(ring: int, value: Column) -> DataFrame:
         ids = [F.lit(ring).cast("long").alias("ring_id"), F.lit(0).cast("long").alias("part")]
@@ -90,10 +78,10 @@ def svg_lines(
 
     lines = paths
     for part in (
-        around(FIRST, F.lit('    <path\n      d="')),
+        around(FIRST, F.lit('<path d="')),
         around(LAST, tail),
         frame(FIRST, head),
-        frame(LAST, F.lit("  </g>\n</svg>")),
+        frame(LAST, F.lit("</g>\n</svg>")),
     ):
         lines = lines.unionByName(part.select(*lines.columns))
     return lines

@@ -5,11 +5,11 @@ from __future__ import annotations
 import gzip
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Void marker of the file format, name pattern of a tile.
@@ -46,8 +46,10 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(spans, columns=["grid_id", "grid_row", "first_col", "elevs"])
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt*").option("recursiveFileLookup", "true").load(path)
+def _files(spark: SparkSession, path: str, tiles: Sequence[str] | None = None) -> DataFrame:
+    """Tile files below a folder; with a list of tile names, such as those that cover a box, only these are read."""
+    named = "{" + ",".join(tiles) + "}" if tiles else "*"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{named}.hgt*").option("recursiveFileLookup", "true").load(path)
     return files.where(F.regexp_like("path", F.lit(TILE_NAME)))
 
 
@@ -66,30 +68,37 @@ def decode_tiles(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_hgt(spark: SparkSession, path: str) -> DataFrame:
-    """Grid table of all tiles below a folder."""
-    return decode_tiles(_files(spark, path))
+def scan_hgt(spark: SparkSession, path: str, tiles: Sequence[str] | None = None) -> DataFrame:
+    """Grid table of the tiles below a folder, all or only those named."""
+    return decode_tiles(_files(spark, path, tiles))
 
 
-def hgt_geometry(spark: SparkSession, path: str, side: int = 3601) -> DataFrame:
-    """Geometry of the tiles below a folder from their names alone.
+def _raster_bytes() -> Column:
+    """Size of the raster: the file's own, or what a compressed file notes in its last four bytes, lowest first."""
+    digits = F.concat(*[F.hex(F.substring(F.col("content"), n, 1)) for n in (-1, -2, -3, -4)])
+    return F.when(F.endswith("path", F.lit(".gz")), F.conv(digits, 16, 10).cast("long")).otherwise(F.col("length"))
+
+
+def hgt_geometry(spark: SparkSession, path: str, tiles: Sequence[str] | None = None) -> DataFrame:
+    """Geometry of the tiles below a folder, from their names and the sizes of their rasters.
 
     Cells are centred on whole arc steps, so the raster starts half a cell outside the tile corner.
     Tiles are ordered by name; on overlap the later one wins in a mosaic.
     """
+    side = F.sqrt(_raster_bytes() / 2).cast("int")
     step = 1.0 / (side - 1)
     name = F.regexp_extract("path", TILE_NAME, 0)
     south = F.regexp_extract("path", TILE_NAME, 2).cast("int") * F.when(F.regexp_extract("path", TILE_NAME, 1) == "S", -1).otherwise(1)
     west = F.regexp_extract("path", TILE_NAME, 4).cast("int") * F.when(F.regexp_extract("path", TILE_NAME, 3) == "W", -1).otherwise(1)
-    return _files(spark, path).select(
+    return _files(spark, path, tiles).select(
         F.substring_index(name, ".", 1).alias("grid_id"),
         (west - step / 2).alias("x0"),
-        F.lit(step).alias("dx"),
+        step.alias("dx"),
         F.lit(0.0).alias("rx"),
         (south + 1 + step / 2).alias("y0"),
         F.lit(0.0).alias("ry"),
-        F.lit(-step).alias("dy"),
-        F.lit(side).alias("width"),
-        F.lit(side).alias("height"),
+        (-step).alias("dy"),
+        side.alias("width"),
+        side.alias("height"),
         F.substring_index(name, ".", 1).alias("tile_order"),
     )

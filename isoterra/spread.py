@@ -1,4 +1,4 @@
-"""How rows are spread over the cluster: size-checked joins, hot keys, global order, lineage.
+"""How rows are spread over the cluster: size-checked joins, global order, lineage.
 
 Every operator that joins a large table with a small one, or needs a running total over a whole
 table, goes through this module so the scale decisions live in one place.
@@ -15,11 +15,7 @@ from pyspark.sql import functions as F
 # A side is broadcast only below these bounds; beyond them the join is salted instead.
 BROADCAST_BYTES = 8 * 1024 * 1024
 BROADCAST_ROWS = 200_000
-# Keys with more rows than this are split; at most rows / HOT_ROWS keys can be hot.
-HOT_ROWS = 1_000_000
 SALTS = 64
-# Below this estimate a shuffle partition cannot grow large enough to need splitting.
-PLAIN_JOIN_BYTES = 1024 * 1024 * 1024
 # Rows per block wherever an ordered group is cut into bounded pieces.
 BLOCK = 8192
 
@@ -49,9 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a frame; starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def proven_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether Catalyst's size estimate, which starts no job, bounds a frame.
+
+    The estimate ignores how far `explode` multiplies rows, so a plan that generates rows proves nothing.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return "Generate" not in plan.toString() and int(str(plan.stats().sizeInBytes())) <= limit
 
 
 def attach(
@@ -61,21 +61,21 @@ def attach(
     spread_by: Sequence[str] | None,
     how: str = "inner",
 ) -> DataFrame:
-    """Join a large frame with a frame that is expected to be small (one or few rows per key).
+    """Join a large frame with another one.
 
-    The small side is broadcast only when its size is proven: by Catalyst's estimate or, failing
-    that, by counting its materialised rows. Otherwise both sides are shuffled on the key plus a
-    salt taken from `spread_by` (columns of the large frame), so that a key holding a third of all
-    rows lands on many tasks. Without `spread_by`, for keys that are (nearly) unique on both sides,
-    it is an ordinary shuffled join.
+    With `spread_by` (columns of the large frame) the other side has one or few rows per grid, mesh or
+    layer. It is broadcast if its size is proven: by the estimate of a plan that generates no rows or,
+    failing that, by counting its materialised rows. Else both sides are shuffled on the key plus a salt,
+    so that a grid with a third of all rows lands on many tasks. Without `spread_by` the keys are (nearly)
+    unique on both sides, whose sizes are alike: a shuffled join, never a broadcast.
     """
-    if estimated_bytes(small) <= BROADCAST_BYTES:
+    if spread_by is None:
+        return big.join(small.hint("merge"), list(on), how)
+    if proven_small(small):
         return big.join(F.broadcast(small), list(on), how)
     small = cut(small)
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), list(on), how)
-    if spread_by is None:
-        return big.join(small, list(on), how)
     return salted_join(big, small, on, spread_by, how)
 
 
@@ -88,32 +88,13 @@ def salted_join(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup(
-    facts: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "inner",
-) -> DataFrame:
+def lookup(facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join facts to a table that is unique on `on`, where single keys of the facts may be hot.
 
-    Small inputs join directly. Otherwise keys above HOT_ROWS are found by one partially aggregated
-    count and only those are salted; the list of hot keys has at most rows / HOT_ROWS entries, and
-    its size is checked again by `attach` before it is broadcast.
+    A shuffled join without a hint of size: the table is as large as the grid or mesh it belongs to, and
+    the adaptive planner splits the partitions of the facts that turn out to be skewed.
     """
-    if estimated_bytes(facts) <= PLAIN_JOIN_BYTES:
-        return facts.join(table, list(on), how)
-    hot = facts.groupBy(*on).count().where(F.col("count") > HOT_ROWS).select(*on, F.lit(True).alias("_hot"))
-    hot = cut(hot)
-    top = F.lit(SALTS).cast("long")
-    marked = attach(facts, hot, on, spread_by, "left")
-    marked = marked.withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), top)).otherwise(F.lit(0).cast("long"))
-    ).drop("_hot")
-    repeats = F.when(F.col("_hot"), top - 1).otherwise(F.lit(0).cast("long"))
-    keyed = attach(table, hot, on, on, "left")
-    keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), repeats))).drop("_hot")
-    return marked.join(keyed, [*on, "_salt"], how).drop("_salt")
+    return facts.join(table.hint("merge"), list(on), how)
 
 
 def in_order(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:

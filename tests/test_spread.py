@@ -12,11 +12,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture
 def forced(monkeypatch):
-    """Nothing counts as small and every key with more than three rows as hot."""
-    monkeypatch.setattr(spread, "BROADCAST_BYTES", -1)
+    """Nothing counts as small."""
+    monkeypatch.setattr(spread, "proven_small", lambda df: False)
     monkeypatch.setattr(spread, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(spread, "PLAIN_JOIN_BYTES", -1)
-    monkeypatch.setattr(spread, "HOT_ROWS", 3)
 
 
 def facts(spark):
@@ -37,11 +35,19 @@ def test_salted_joins_keep_every_row(spark, forced, how):
     for joined in (
         spread.attach(facts(spark), table(spark), ["k"], ["n"], how),
         spread.attach(facts(spark), table(spark), ["k"], None, how),
-        spread.lookup(facts(spark), table(spark), ["k"], ["n"], how),
+        spread.lookup(facts(spark), table(spark), ["k"], how),
     ):
         assert sorted(map(tuple, joined.select("n", "k", "v").collect()), key=repr) == want
 
 
+def test_generated_rows_prove_no_size(spark):
+    few = spark.range(3)
+    many = few.select(F.explode(F.sequence(F.lit(0), F.lit(10**6))).alias("id"))
+    assert spread.proven_small(few) and not spread.proven_small(many)
+    plan = spread.attach(many.select("id"), many.selectExpr("id", "1 v"), ["id"], None)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_running_total_splits_equal_keys(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("day"), F.col("id"), (F.col("id") % 7).alias("size"))
     got = spread.running_total(rows, ["day", "id"], F.col("size"), "before").collect()
