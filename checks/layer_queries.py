@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.fixtures import big, clean, dem, derived, grids, levels, members, oracle, query, rounded
 from checks.mesh_queries import PLAIN, color_sql
-from isoterra.functions.color import color_rgb, hex_from_bytes, parse_hex, to_hex, unit_rgb
+from isoterra.functions.color import color_rgb, parse_hex, to_hex
 from isoterra.operators import components as areas
 from isoterra.operators import levels as lv
 from isoterra.operators import polygons, raster, rings, solid, style
@@ -365,7 +366,16 @@ def e6(spark, sf):
     return style.polygon_style(heights(spark, sf)).select("layer", "fill", "fill_opacity", "stroke")
 
 
-@query("f6_extrude_layers")
+SOLID_SQL = """, sides as (
+  select m.layer, count(*) n from members m cross join (values (0, 1), (0, -1), (1, 0), (-1, 0)) d(r, c)
+  left join members o on o.layer = m.layer and o.grid_row = m.grid_row + r and o.grid_col = m.grid_col + c
+  where o.layer is null group by m.layer),
+counted as (select layer, 4 * count(*) + 2 * any_value(s.n) n from members join sides s using (layer) group by layer)
+select 'g0#' || layer mesh_id, cast(n as bigint) triangles, cast(n * 3 // 2 as bigint) edges, 0::bigint boundary_edges,
+  0::bigint excess_edges, 0::bigint degenerate, true manifold, true watertight, true as valid from counted"""
+
+
+@query("f6_extrude_layers", oracle("members") + SOLID_SQL)
 def f6(spark, sf):
     slabs = lv.layer_slabs(heights(spark, sf), 0.0, 2000.0)
     return validate_mesh(solid.extrude_layers(members(spark, sf), slabs, grids(spark, sf)))
@@ -390,8 +400,6 @@ from (select grid_id, layer, polygon_id, 100.0 + layer * 50 elevation, cast(dens
 def k2(spark, sf):
     points = loops(spark, sf)
     shown = points.select("grid_id", "layer").distinct()
-    from pyspark.sql import Window
-
     layers = shown.withColumn("elevation", F.lit(100.0) + F.col("layer") * 50).withColumn(
         "layer_number", F.dense_rank().over(Window.partitionBy("grid_id").orderBy("layer"))
     )
@@ -417,6 +425,32 @@ def k2_wkt(spark, sf):
     return texts.select("grid_id", "layer", "polygon_id", F.array_join(F.transform("_p", lambda p: p["value"]), "").alias("wkt"))
 
 
+GEOJSON_SQL = """, named as (
+  select *, 100.0 + layer * 50 elevation, cast(dense_rank() over (order by layer) as int) layer_number,
+    min(polygon_id) over (partition by grid_id, layer) head from loop_metrics),
+pts as (select *, '[' || format('{:.6f}', x) || ', ' || format('{:.6f}', y) || ']' p from loops)
+select grid_id, layer, polygon_id, ring_id, cast(-1 as bigint) part, case when ring_id = 0 then '[' else ',[' end as value from pts where seq = 0
+union all select grid_id, layer, polygon_id, ring_id, 4611686018427387904, ', ' || p || ']' from pts where seq = 0
+union all select grid_id, layer, polygon_id, ring_id, cast(seq // 8192 as bigint),
+  case when seq // 8192 > 0 then ', ' else '' end || string_agg(p, ', ' order by seq) from pts group by grid_id, layer, polygon_id, ring_id, seq // 8192
+union all select grid_id, layer, polygon_id, -1, 0, case when polygon_id = head then '' else ',' end || '{"type": "Feature","properties": {"elevation": '
+  || format('{:.6f}', elevation) || ', "layer": ' || layer_number || ', "area": ' || format('{:.6f}', exterior_area)
+  || ', STYLE},"geometry": {"type": "Polygon","coordinates": [' from named
+union all select grid_id, layer, polygon_id, 4611686018427387904, 0, ']}}' from named
+union all select distinct grid_id, layer, -1, -1, -1, '{"type": "FeatureCollection","features": [' from named
+union all select distinct grid_id, layer, 4611686018427387904, 4611686018427387904, 4611686018427387904, ']}' from named"""
+
+
+@query("k1_geojson_loops", oracle("loop_metrics") + GEOJSON_SQL.replace("STYLE", geojson.STYLE))
+def k1_loops(spark, sf):
+    points = loops(spark, sf)
+    order = Window.partitionBy("grid_id").orderBy("layer")
+    layers = points.select("grid_id", "layer").distinct().withColumns(
+        {"elevation": F.lit(100.0) + F.col("layer") * 50, "layer_number": F.dense_rank().over(order)}
+    )
+    return geojson.to_geojson(points, layers, area=True, style=True)
+
+
 @query("k3_svg")
 def k3(spark, sf):
     return svg.svg_lines(*numbered(spark, sf), holes=True)
@@ -436,7 +470,18 @@ def k5(spark, sf):
     return meshtext.obj_lines(surface(spark, sf), bands=10)
 
 
-@query("k5_mtl")
+def _mtl_sql() -> str:
+    channels = [f"cast({color_sql('at_', k)} as float)" for k in (1, 2, 3)]
+    dark = " || ' ' || ".join(f"format('{{:.3f}}', cast({c} * 0.3::float as double))" for c in channels)
+    full = " || ' ' || ".join(f"format('{{:.3f}}', cast({c} as double))" for c in channels)
+    line = "chr(10)"
+    return f"""select grid_id mesh_id, 0 section, band as line, 'newmtl elevation_' || cast(trunc(elevation) as int) || 'm' || {line} ||
+  'Ka ' || {dark} || {line} || 'Kd ' || {full} || {line} || 'Ks 0.100 0.100 0.100' || {line} || 'Ns 10.000' || {line} as value
+from (select grid_id, i band, min_elev + (max_elev - min_elev) * (i / 9.0) elevation,
+  least(greatest((min_elev + (max_elev - min_elev) * (i / 9.0) - min_elev) / (max_elev - min_elev), 0.0), 1.0) at_ from span, range(0, 10) t(i)) u"""
+
+
+@query("k5_mtl", oracle("span") + _mtl_sql())
 def k5_mtl(spark, sf):
     ranges = elevation_range(clean(spark, sf)).withColumnRenamed("grid_id", "mesh_id")
     return meshtext.mtl_lines(style.band_materials(ranges, 10, key="mesh_id"))
@@ -471,5 +516,3 @@ def p2(spark, sf):
 def p3(spark, sf):
     return products.layered_solid(dem(spark, sf), grids(spark, sf), products.Job(layers=5)).report
 
-
-__all__ = ["hex_from_bytes", "unit_rgb"]
