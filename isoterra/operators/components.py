@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoterra.operators.levels import banded_cells
-from isoterra.spread import attach, cut, lookup
+from isoterra.spread import attach, cut, discard, lookup
 
 MASK = ["grid_id", "layer", "grid_row", "grid_col"]
 # Cells per side of a chunk that one task labels; a chunk never holds more than CHUNK * CHUNK cells.
@@ -288,12 +288,13 @@ def _contract(links: DataFrame) -> DataFrame:
     hooked = cut(hooked)
     while True:
         above = hooked.select("grid_id", "layer", F.col("local").alias("root"), F.col("root").alias("_next"))
-        # Many areas may hook on one, so the lookup salts hot roots.
+        # Many areas may hook on one; the planner splits the partitions of hot roots.
         jumped = lookup(hooked, above, ["grid_id", "layer", "root"]).select(
             "grid_id", "layer", "local", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")
         )
         jumped = cut(jumped)
         moved = jumped.where("_moved").limit(1).count()
+        discard(hooked)
         hooked = jumped.drop("_moved")
         if not moved:
             return hooked
@@ -314,11 +315,13 @@ def link_roots(links: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
         for end in ("a", "b"):
             to = roots.select("grid_id", "layer", F.col("local").alias(end), F.col("root").alias(f"_{end}"))
             ends = lookup(ends, to, ["grid_id", "layer", end])
-        links = cut(
+        smaller = cut(
             ends.where("_a != _b")
             .select("grid_id", "layer", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
             .distinct()
         )
+        discard(links)
+        links = smaller
     result = links.groupBy("grid_id", "layer").applyInPandas(_merge_links, _MERGED)
     for roots in reversed(rounds):
         later = result.select("grid_id", "layer", F.col("local").alias("root"), F.col("root").alias("_later"))

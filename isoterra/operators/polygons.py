@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoterra.spread import BLOCK, attach, cut
+from isoterra.spread import BLOCK, attach, cut, discard
 
 POLYGON = ["grid_id", "layer", "polygon_id"]
 RING = [*POLYGON, "ring_id"]
@@ -131,6 +131,7 @@ def decimate_ring(points: DataFrame, tol: float, block: int = BLOCK) -> DataFram
                 )
             )
             settled = not updated.where("_new").limit(1).count()
+            discard(anchors)
             anchors = updated.drop("_new")
             if settled:
                 break

@@ -45,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(copy: DataFrame) -> None:
+    """Delete the files of a `cut` that no frame reads any more, so rounds of a loop do not pile up."""
+    context = copy.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in copy.inputFiles()}:
+        if "/isoterra-" in folder:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def proven_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether Catalyst's size estimate, which starts no job, bounds a frame.
 
