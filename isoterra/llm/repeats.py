@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoterra.llm.batches import per_worker
 from isoterra.llm.induced import Space, suffix_array
 from isoterra.spread import cut
 
@@ -45,18 +46,34 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:-rest], low[rest:]) if rest else low
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, first, count) per anchor of texts that are scanned together.
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, kept by the worker."""
+
+    def make() -> list:
+        return [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+    held = per_worker("powers", make)
+    if len(held[0]) < count:
+        size = 1 << int(count).bit_length()
+        base = int(_MIX[0])
+        for n, b in enumerate((base, pow(base, -1, 1 << 64))):
+            held[n] = np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64)), dtype=np.uint64)
+    return held[0][:count], held[1][:count]
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(text, hash, context, first, count) per anchor of texts that are scanned together.
 
     The anchor of a string of `length` bytes is its substring of `anchor` bytes with the smallest hash, the
     leftmost of equal ones, so equal strings have equal anchors wherever they stand. Strings in a row
     mostly share an anchor; `first` is where the first of them starts in its text, `count` their number.
+    `context` is a digest of all bytes under these strings.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     empty = np.zeros(0, np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     eight = words_at(data)
     usable = len(data) - anchor + 1
     mixed = sum(eight[8 * n : 8 * n + usable] * _MIX[n] for n in range(anchor // 8))
@@ -73,9 +90,15 @@ def anchors(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> t
     inside = starts + length <= (begins + sizes)[text]
     starts, text, chosen = starts[inside], text[inside], chosen[inside]
     if not len(starts):
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])))
-    return text[new], mixed[chosen[new]].view(np.int64), (starts - begins[text])[new], np.diff(np.append(new, len(starts)))
+    count = np.diff(np.append(new, len(starts)))
+    # The digest adds up mixed words with powers of their place, so every stretch has its own by subtraction.
+    up, down = _powers(usable)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up, dtype=np.uint64)])
+    low, high = starts[new], starts[new] + count + length - anchor
+    context = (sums[high] - sums[low]) * down[low] + count.astype(np.uint64) * _MIX[1]
+    return text[new], mixed[chosen[new]].view(np.int64), context.view(np.int64), (starts - begins[text])[new], count
 
 
 def _groups(texts: list[bytes], limit: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -144,12 +167,14 @@ def repeated_runs(
 ) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
-    Strings can only be equal if their anchors are, so the work is shared out by anchor. Anchors that occur
-    once are dropped first; of the others the strings around them go to the shard of the anchor's hash,
-    as a context per occurrence, and every shard is sorted by external induced sorting (`induced`). The
-    number of shards follows the bytes to sort, and a shard that a hot anchor makes larger than memory
-    is sorted on disk. Common prefixes are measured between final neighbours instead of being carried
-    through the sort: only `length` bytes count here, and comparing those costs less than carrying them.
+    Strings can only be equal if their anchors are, so the work is shared out by anchor. Anchors and a
+    digest of their contexts (both 64 bits wide) are sorted first: an anchor that occurs once is done; of
+    occurrences with equal context only the earliest goes on, and the strings of the others are all
+    repeated. The contexts that go on are sent to the shard of their anchor, and every shard is sorted by
+    external induced sorting (`induced`), which tells the strings that differing contexts share. The
+    number of shards follows the bytes to sort, and a shard that is larger than memory is sorted on
+    disk. Common prefixes are measured between final neighbours instead of being carried through the
+    sort: only `length` bytes count here, and comparing those costs less than carrying them.
 
     A null text counts as empty. Rows that repeat an id are ordered by a hash of their texts; if the
     texts are equal too, the rows are one document that is listed as often as it occurs. Rows without an
@@ -157,43 +182,49 @@ def repeated_runs(
     """
     kind = exports.schema[export_id].dataType.simpleString()
     text = F.coalesce(F.col(value), F.lit(""))
-    rows = exports.select(F.col(export_id).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    known = rows.select("id", "mark", "text")
+    known = exports.select(F.col(export_id).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column("id"), batch.column("mark")
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             for at, some in _groups(texts, SCAN_BYTES):
-                number, hashes, first, count = anchors(some, length)
+                number, hashes, context, first, count = anchors(some, length)
                 if len(number):
                     take = pa.array(number + at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes), ids.take(take), marks.take(take), pa.array(first * 256 + count)], names=["anchor", "id", "mark", "place"]
-                    )
-
-    places = cut(known.mapInArrow(scan, f"anchor long, id {kind}, mark long, place long"))
-    shared = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    chosen = cut(places.join(shared, "anchor").groupBy("id", "mark").agg(F.array_sort(F.collect_set("place")).alias("places")))
-    owned = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p % 256 + length - 1)
-    to_sort = chosen.agg(F.coalesce(F.sum(owned), F.lit(0))).first()[0]
+                    columns = [pa.array(hashes), pa.array(context), ids.take(take), marks.take(take), pa.array(first * 256 + count)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "id", "mark", "place"])
+
+    places = known.mapInArrow(scan, f"anchor long, context long, id {kind}, mark long, place long")
+    # Neighbours in the order of an anchor tell whether a place is the first of its context and alone.
+    order = Window.partitionBy("anchor").orderBy("context", "id", "mark", "place")
+    same_row = F.lag("id").over(order).eqNullSafe(F.col("id")) & (F.lag("mark").over(order) == F.col("mark")) & (F.lag("place").over(order) == F.col("place"))
+    again = F.coalesce((F.lag("context").over(order) == F.col("context")) & ~same_row, F.lit(False))
+    alone = F.lag("place").over(order).isNull() & F.lead("place").over(order).isNull()
+    told = places.select("id", "mark", "place", again.alias("again"), alone.alias("alone")).where("not alone")
+    # Of a place the list keeps 2 * place, plus one if its context has to be sorted.
+    listed = F.col("place") * 2 + (~F.col("again")).cast("long")
+    chosen = cut(told.groupBy("id", "mark").agg(F.collect_list(listed).alias("places")))
+    size = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + (p % 2) * (F.shiftright(p, 1) % 256 + length - 1))
+    to_sort = chosen.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     shards = to_sort // shard_bytes + 1
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
+                places = batch.column("places")[n].values.to_numpy()
+                wanted = places[places % 2 == 1] >> 1
+                if not len(wanted):
+                    continue
                 data = batch.column("text")[n].as_py().encode()
-                spots = batch.column("places")[n].values.to_numpy()
-                for at in range(0, len(spots), 4096):
-                    some = spots[at : at + 4096]
-                    first, count = some // 256, some % 256
-                    pieces = [data[f : f + c + length - 1] for f, c in zip(first.tolist(), count.tolist())]
-                    number, hashes, _, _ = anchors([p[: length] for p in pieces], length)
-                    take = pa.array(np.full(len(pieces), n))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes), batch.column("id").take(take), batch.column("mark").take(take), pa.array(first), pa.array(pieces, pa.binary())],
-                        names=["anchor", "id", "mark", "first", "context"],
-                    )
+                _, hashes, _, first, count = anchors([data], length)
+                mine = np.flatnonzero(np.isin(first * 256 + count, wanted))
+                for at in range(0, len(mine), 4096):
+                    some = mine[at : at + 4096]
+                    pieces = [data[f : f + c + length - 1] for f, c in zip(first[some].tolist(), count[some].tolist())]
+                    take = pa.array(np.full(len(some), n))
+                    columns = [pa.array(hashes[some]), batch.column("id").take(take), batch.column("mark").take(take), pa.array(first[some]), pa.array(pieces, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "mark", "first", "context"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -202,12 +233,10 @@ def repeated_runs(
         table = pa.Table.from_batches(parts)
         pieces = table.column("context").to_pylist()
         held = np.array([len(p) - length + 1 for p in pieces])
-        order = table.select(["id", "mark", "first"]).append_column("row", pa.array(np.arange(len(pieces))))
-        order = order.sort_by([("id", "ascending"), ("mark", "ascending"), ("first", "ascending")]) if not order.column("id").null_count else pa.concat_tables(
-            [order.filter(order.column("id").is_null()).sort_by([("mark", "ascending"), ("first", "ascending")]), order.filter(order.column("id").is_valid()).sort_by([("id", "ascending"), ("mark", "ascending"), ("first", "ascending")])]
-        )
-        rank = np.empty(len(pieces), np.int64)
-        rank[order.column("row").to_numpy()] = np.arange(len(pieces))
+        keys = list(zip(*[table.column(c).to_pylist() for c in ("id", "mark", "first")]))
+        ordered = sorted(set(keys), key=lambda k: (k[0] is not None, k[0] if k[0] is not None else 0, *k[1:]))
+        numbers = dict(zip(ordered, range(len(ordered))))
+        rank = np.array([numbers[k] for k in keys])
         context, offset = repeated_strings(pieces, held, rank, length)
         if not len(context):
             return
@@ -217,34 +246,34 @@ def repeated_runs(
         out = [table.column("id").take(take), table.column("mark").take(take), pa.chunked_array([pa.array(base + start)]), pa.chunked_array([pa.array(base + end)])]
         yield from pa.table(out, names=["id", "mark", "start", "end"]).to_batches()
 
-    def joined(side: DataFrame, columns: list[str], how: str) -> DataFrame:
+    def joined(texts: DataFrame, side: DataFrame, column: str, how: str) -> DataFrame:
         other = side.withColumnsRenamed({"id": "_id", "mark": "_mark"})
-        on = known["id"].eqNullSafe(other["_id"]) & (known["mark"] == other["_mark"])
-        return known.join(other, on, how).select("id", "mark", "text", *columns)
+        on = texts["id"].eqNullSafe(other["_id"]) & (texts["mark"] == other["_mark"])
+        return texts.join(other, on, how).select(*texts.columns, column)
 
-    around = joined(chosen, ["places"], "inner").dropDuplicates(["id", "mark"]).mapInArrow(
-        contexts, f"anchor long, id {kind}, mark long, first long, context binary"
-    )
-    spans = around.repartition(int(shards), "anchor").mapInArrow(sort, f"id {kind}, mark long, start long, end long")
-    spans = cut(spans.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    located = joined(known, chosen, "places", "left")
+    around = located.where("places is not null").mapInArrow(contexts, f"anchor long, id {kind}, mark long, first long, context binary")
+    found = around.repartition(int(shards), "anchor").mapInArrow(sort, f"id {kind}, mark long, start long, end long")
+    spans = found.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for body, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for body, places, shared in zip(*[batch.column(c).to_pylist() for c in ("text", "places", "spans")]):
                 data, at, kept, runs = body.encode(), 0, [], 0
-                for span in found or []:
-                    if span["start"] > at or not runs:
-                        kept.append(data[at : span["start"]])
+                whole = [(p >> 9, (p >> 9) + (p >> 1) % 256 + length - 1) for p in places or [] if p % 2 == 0]
+                for start, end in sorted(whole + [(s["start"], s["end"]) for s in shared or []]):
+                    if start > at or not runs:
+                        kept.append(data[at:start])
                         runs += 1
-                    at = max(at, span["end"])
+                    at = max(at, end)
                 kept = b"".join([*kept, data[at:]])
                 for k, v in zip(out, (len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)):
                     out[k].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(v, t) for v, t in zip(out.values(), kinds)]], names=["id", *out])
 
-    result = joined(spans, ["spans"], "left").mapInArrow(
+    result = joined(located, spans, "spans", "left").mapInArrow(
         keep, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
     return result.withColumnRenamed("id", export_id)

@@ -110,10 +110,13 @@ def test_anchors_follow_the_string():
     draw = random.Random(6)
     string = bytes(draw.randrange(256) for _ in range(300))
     texts = [b"ab" + string, string[50:] + b"!", b"short", b"", string]
-    number, hashes, first, count = anchors(texts)
+    number, hashes, context, first, count = anchors(texts)
     owner = {}
     for n, h, f, c in zip(number.tolist(), hashes.tolist(), first.tolist(), count.tolist()):
         for start in range(f, f + c):
             owner.setdefault(texts[n][start : start + 100], set()).add(h)
     assert all(len(h) == 1 for h in owner.values())
+    # Equal contexts have equal digests, others have others.
+    bytes_of = [texts[n][f : f + c + 99] for n, f, c in zip(number.tolist(), first.tolist(), count.tolist())]
+    assert len(set(bytes_of)) == len(set(context.tolist())) == len(set(zip(bytes_of, context.tolist())))
     assert sum(count.tolist()) == sum(max(0, len(t) - 99) for t in texts)
