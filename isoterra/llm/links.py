@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoterra.spread import cut
+from isoterra.spread import cut, discard
 
 
 def smallest_reachable(links: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     steps: list[DataFrame] = []
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     while not steps or not links.isEmpty():
+        before = links
         both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
         near = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("near"))
         near = cut(near)
@@ -29,7 +30,10 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             links = links.join(moved.withColumnsRenamed({"node": end, "root": f"_{end}"}), end)
         ends = links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-        links = cut(ends.where("a <> b").distinct())
+        contracted = cut(ends.where("a <> b").distinct())
+        discard(near)
+        discard(before)
+        links = contracted
     # A root of one round is a node of the next one, unless its group was complete.
     labels = steps[0]
     for step in steps[1:]:
