@@ -49,16 +49,23 @@ def clean_nonfinite(grid: DataFrame) -> DataFrame:
 def mosaic(grid: DataFrame, grids: DataFrame, mosaic_id: str = "mosaic") -> DataFrame:
     """Put tiles into one grid; on overlap the tile with the greatest `tile_order` wins, voids never do.
 
-    `grids` carries `tile_order` besides the geometry. All tiles must share cell size and alignment;
-    the mosaic starts at the north-west corner of all tiles.
+    `grids` carries `tile_order` besides the geometry. All tiles must share cell size and alignment, else an
+    error is raised; the mosaic starts at the north-west corner of all tiles.
     """
-    corner = grids.agg(F.min("x0").alias("_west"), F.max("y0").alias("_north")).withColumn("_all", F.lit(1))
-    placed = attach(grids.withColumn("_all", F.lit(1)), corner, ["_all"], ["grid_id"])
+    spans = [F.min("x0").alias("_west"), F.max("y0").alias("_north"), F.max("dx").alias("_dx"), F.max("dy").alias("_dy")]
+    placed = attach(grids.withColumn("_all", F.lit(1)), grids.agg(*spans).withColumn("_all", F.lit(1)), ["_all"], ["grid_id"])
+
+    def steps(distance: Column, size: str) -> Column:
+        """Whole cells from the corner; tiles of other cell size or between the cells stop the job."""
+        exact = distance / F.col(size)
+        fits = (F.abs(F.col(size) - F.col(f"_{size}")) <= F.abs(F.col(size)) * 1e-6) & (F.abs(exact - F.round(exact)) <= 1e-3)
+        return F.when(fits, F.round(exact).cast("int")).otherwise(F.raise_error(F.lit("tiles of a mosaic differ in cell size or alignment")))
+
     shift = placed.select(
         "grid_id",
         "tile_order",
-        F.round((F.col("x0") - F.col("_west")) / F.col("dx")).cast("int").alias("_dc"),
-        F.round((F.col("y0") - F.col("_north")) / F.col("dy")).cast("int").alias("_dr"),
+        steps(F.col("x0") - F.col("_west"), "dx").alias("_dc"),
+        steps(F.col("y0") - F.col("_north"), "dy").alias("_dr"),
     )
     cells = attach(grid, shift, ["grid_id"], ["grid_row", "grid_col"])
     return (
@@ -113,11 +120,21 @@ def clip_window(grids: DataFrame, min_x: float, min_y: float, max_x: float, max_
 
 
 def clip(grid: DataFrame, grids: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:
-    """Cells of the pixel window that covers a box, renumbered from 0; a filter and a projection only."""
+    """Cells of the pixel window that covers a box, renumbered from 0; a filter and a projection only.
+
+    The windows are computed first, from the one row per grid; their common range is a literal filter
+    that reaches the scan, so a small box reads little of a large grid.
+    """
     window = clip_window(grids, min_x, min_y, max_x, max_y).select(
         "grid_id", "col_off", "row_off", "col_count", "row_count"
     )
-    cells = attach(grid, window, ["grid_id"], ["grid_row", "grid_col"])
+    ends = {"_top": F.min("row_off"), "_bottom": F.max(F.col("row_off") + F.col("row_count")), "_left": F.min("col_off"), "_right": F.max(F.col("col_off") + F.col("col_count"))}
+    common = window.agg(*[c.alias(n) for n, c in ends.items()]).first()
+    if common["_top"] is None:
+        near = grid.where(F.lit(False))
+    else:
+        near = grid.where(F.col("grid_row").between(common["_top"], common["_bottom"] - 1) & F.col("grid_col").between(common["_left"], common["_right"] - 1))
+    cells = attach(near, window, ["grid_id"], ["grid_row", "grid_col"])
     row, col = F.col("grid_row") - F.col("row_off"), F.col("grid_col") - F.col("col_off")
     return cells.where((row >= 0) & (row < F.col("row_count")) & (col >= 0) & (col < F.col("col_count"))).select(
         "grid_id", row.alias("grid_row"), col.alias("grid_col"), "elev"

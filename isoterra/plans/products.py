@@ -92,7 +92,8 @@ def contour_product(grid: DataFrame, grids: DataFrame, job: Job = Job()) -> Cont
     labelled = cut(labelled)
     cells = areas.area_cells(labelled)
     points = cut(area_rings(labelled, grids, remove_holes=job.remove_holes))
-    layers = drop_empty(layer_table(polygon_metrics(points), levels))
+    # A few rows from windows over all ring points; every sink reads them several times.
+    layers = cut(drop_empty(layer_table(polygon_metrics(points), levels)))
     if job.only_layers:
         layers = select_layers(layers, job.only_layers)
         kept = layers.select("grid_id", "layer", F.lit(True).alias("_kept"))
@@ -129,7 +130,8 @@ def terrain_mesh(grid: DataFrame, grids: DataFrame, job: Job = Job(), jobs: Data
             base = base_platform(grids, job.base_mm)
             walls = side_walls(repaired, grids, job.base_mm, job.surface, job.vscale)
             mesh = join_parts(mesh, base, walls)
-    return _scaled(mesh, jobs)
+    # Vertices and triangles are two tables of the same cells, and every sink reads both.
+    return _scaled(Mesh(cut(mesh.vertices), cut(mesh.triangles)), jobs)
 
 
 def _in_metres(mesh: Mesh, grids: DataFrame) -> Mesh:

@@ -150,3 +150,14 @@ def test_outline_of_a_square(spark):
     assert got == {(x, y) for x in range(11) for y in range(11) if x in (0, 10) or y in (0, 10)}
     thick = {(r.px, r.py) for r in outline_pixels(points, frame, 2.0).collect()}
     assert thick == {(x, y) for x in range(11) for y in range(11) if min(x, y, 10 - x, 10 - y) <= 1}
+
+
+def test_mosaic_of_different_tiles_is_refused(spark):
+    from isoterra.operators.grid import mosaic
+
+    columns = "grid_id string, x0 double, dx double, rx double, y0 double, ry double, dy double, width int, height int, tile_order string"
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 0, 0, 2.0)], "grid_id string, grid_row int, grid_col int, elev float")
+    for other in [(1.0, 2.0), (0.5, 1.0)]:
+        grids = spark.createDataFrame([("a", 0.0, 1.0, 0.0, 5.0, 0.0, -1.0, 1, 1, "a"), ("b", other[0], other[1], 0.0, 5.0, 0.0, -1.0, 1, 1, "b")], columns)
+        with pytest.raises(Exception, match="differ in cell size or alignment"):
+            mosaic(cells, grids).collect()
