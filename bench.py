@@ -19,6 +19,8 @@ from isoterra.operators.levels import contour_levels, layer_cells, layer_counts
 from isoterra.operators.mesh import validate_mesh
 from isoterra.operators.rings import area_rings
 from isoterra.plans.products import Job, contour_product, layered_solid, terrain_mesh
+from isoterra.sinks.geojson import to_geojson
+from isoterra.sinks.meshtext import stl_lines
 from isoterra.spread import cut
 
 
@@ -66,6 +68,11 @@ def big_surface(spark, sf):
     return heightmap_triangles(grid, frame)
 
 
+def big_geojson(spark, sf):
+    product = contour_product(*big(spark, sf)[:2], Job(layers=3))
+    return to_geojson(product.ring_points, product.layers, area=True)
+
+
 HEADLINES = {
     "load_grid": load,
     "repair_outliers": lambda spark, sf: repair_outliers(big(spark, sf)[0]),
@@ -80,6 +87,8 @@ HEADLINES = {
     "polygon_metrics": fixtures.QUERIES["c7_polygon_metrics"],
     "contour_product": lambda spark, sf: contour_product(*big(spark, sf)[:2], Job(layers=7)).layers,
     "terrain_mesh": lambda spark, sf: terrain_mesh(*big(spark, sf)[:2]).extents,
+    "stl_export": lambda spark, sf: stl_lines(big_surface(spark, sf), bed_mm=200.0),
+    "geojson_export": big_geojson,
     "layered_solid": lambda spark, sf: layered_solid(*big(spark, sf)[:2], Job(layers=7)).report,
 }
 
