@@ -29,10 +29,11 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told; the network learns from the labelled ones not held out."""
-    places = as_places(docs)
-    judged = identify_language(places.select("place_id", "name"), places.where(~held_out(F.col("place_id"))))
+    places = as_places(docs).select("place_id", "name", "lang", "source", "n_chars")
+    labelled = places.where(~held_out(F.col("place_id")))
+    judged = identify_language(places, labelled, carried=["name", "lang", "source", "n_chars"])
     sure = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return _only(docs, sure.withColumnRenamed("place_id", "doc_id"))
+    return sure.select(F.col("place_id").alias("doc_id"), F.col("name").alias("text"), "lang", "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

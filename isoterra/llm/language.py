@@ -8,6 +8,7 @@ probabilities, and a name's probabilities are the mean over all its bytes.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +25,7 @@ LONGEST = 32
 SAMPLE_NAMES, SAMPLE_WORDS = 3000, 12_000
 STEPS, BATCH, RATE, RANDOM = 700, 192, 0.01, 7
 # Different words whose probabilities a task remembers.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 # Words that are read together.
 _ROWS = 1024
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -229,8 +230,9 @@ def identify_language(
     sample_names: int = SAMPLE_NAMES,
     sample_words: int = SAMPLE_WORDS,
     steps: int = STEPS,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per place: key, lang_pred, score (0 to 1).
+    """One row per place: the `carried` columns, key, lang_pred, score (0 to 1).
 
     The network is trained on the driver with a bounded sample of `labelled`, a table with the same key,
     name and language columns; rows without a name or language teach nothing. The prediction sees
@@ -251,8 +253,11 @@ def identify_language(
         pooled = judge.pool(lists["name"])
         return {"key": lists["key"], "lang_pred": [p for p, _ in pooled], "score": [s for _, s in pooled]}
 
-    judged = in_batches(named(places, key=key, name=name), predict, f"key {kind}, lang_pred string, score double")
-    return judged.withColumnRenamed("key", key)
+    # Carried columns travel under numbers, so none can clash with those of the operator.
+    kept = {f"_{n}": c for n, c in enumerate(carried)}
+    rows = named(places, **kept, key=key, name=name)
+    judged = in_batches(rows, predict, f"key {kind}, lang_pred string, score double", list(kept))
+    return judged.select(*[judged[n].alias(c) for n, c in kept.items()], judged["key"].alias(key), "lang_pred", "score")
 
 
 def held_out(key: Column) -> Column:

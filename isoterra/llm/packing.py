@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoterra.llm.batches import named, per_worker
+from isoterra.llm.batches import named, per_worker, slices
 from isoterra.llm.tokens import encoder
 
 LENGTH = 4096
@@ -148,7 +148,7 @@ def pack_places(
             columns[5] = [base + s for s in columns[5]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for k, data in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist())):
                 plan.add(k, np.append(np.frombuffer(data, "<u4"), np.uint32(end_id)))
                 if plan.held >= PLAN_IDS and (pieces := list(plan.give())):

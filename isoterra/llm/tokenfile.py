@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoterra.llm.batches import named
+from isoterra.llm.batches import named, slices
 from isoterra.llm.frames import new_folder, open_file, write_files
 from isoterra.llm.tokens import encoder
 from isoterra.spread import cut
@@ -47,7 +47,7 @@ def write_token_files(places: DataFrame, vocabulary: str, key: str = "place_id",
     width = f"<u{id_bytes}"
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, ids in zip(keys, encoder(vocabulary).encode(texts)):
                 yield _NULL_KEY if k is None else k, np.append(np.frombuffer(ids, "<u4"), end_id).astype(width).tobytes()

@@ -50,6 +50,17 @@ def test_accuracy(spark):
     assert ("de" in [r["lang_pred"] for r in rows if r["place_id"] == 4]) and len([r for r in rows if r["place_id"] == 4]) == 2
 
 
+def test_carried_columns_and_small_parts(spark, monkeypatch):
+    from isoterra.llm import batches
+
+    monkeypatch.setattr(batches, "SLICE_BYTES", 40)
+    asked = names(30, 500)
+    frame = spark.createDataFrame(asked, SCHEMA).selectExpr("place_id", "name", "lang", "place_id * 2 as score", "name as key")
+    found = identify_language(frame, spark.createDataFrame(names(60), SCHEMA), steps=20, carried=["name", "lang"])
+    assert found.columns == ["name", "lang", "place_id", "lang_pred", "score"]
+    assert sorted((r["place_id"], r["name"], r["lang"]) for r in found.collect()) == sorted(asked)
+
+
 def test_nothing_to_learn_from_and_empty(spark):
     frame = spark.createDataFrame([(1, "a name", None)], SCHEMA)
     assert tuple(identify_language(frame, frame).first()) == (1, UNKNOWN, 0.0)
