@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoterra.llm.batches import per_worker
+from isoterra.llm.batches import per_worker, slices
 from isoterra.llm.induced import Space, suffix_array
 from isoterra.spread import cut
 
@@ -112,6 +112,28 @@ def _groups(texts: list[bytes], limit: int) -> Iterator[tuple[int, list[bytes]]]
         at = end
 
 
+def _ranks(ids: list, marks: list) -> np.ndarray:
+    """Places of documents in their order, equal for equal ones; those without an id come first."""
+    keys = list(zip(ids, marks))
+    ordered = sorted(set(keys), key=lambda k: (k[0] is not None, k[0] if k[0] is not None else 0, k[1]))
+    numbers = dict(zip(ordered, range(len(ordered))))
+    return np.array([numbers[k] for k in keys])
+
+
+def _seen_together(anchor: np.ndarray, context: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places of one scan have an earlier place with their context, and which have company at their anchor."""
+    order = np.lexsort((place, rank, context, anchor))
+    a, c, k = anchor[order], context[order], np.arange(len(order))
+    other_anchor = np.append(True, a[1:] != a[:-1])
+    new = other_anchor | np.append(True, c[1:] != c[:-1])
+    first = order[np.maximum.accumulate(np.where(new, k, 0))]
+    again, met = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    # A row that is listed twice is no earlier place of itself.
+    again[order] = ~new & ((rank[order] != rank[first]) | (place[order] != place[first]))
+    met[order] = ~other_anchor | np.append(~other_anchor[1:], False)
+    return again, met
+
+
 def repeated_strings(
     contexts: list[bytes], owned: np.ndarray, rank: np.ndarray, length: int = LENGTH, in_memory: int | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +192,7 @@ def repeated_runs(
     Strings can only be equal if their anchors are, so the work is shared out by anchor. Anchors and a
     digest of their contexts (both 64 bits wide) are sorted first: an anchor that occurs once is done; of
     occurrences with equal context only the earliest goes on, and the strings of the others are all
-    repeated. The contexts that go on are sent to the shard of their anchor, and every shard is sorted by
+    repeated. A scan tells its own repetitions apart beforehand, so a hot anchor sends few rows. The contexts that go on are sent to the shard of their anchor, and every shard is sorted by
     external induced sorting (`induced`), which tells the strings that differing contexts share. The
     number of shards follows the bytes to sort, and a shard that is larger than memory is sorted on
     disk. Common prefixes are measured between final neighbours instead of being carried through the
@@ -185,22 +207,28 @@ def repeated_runs(
     known = exports.select(F.col(export_id).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, marks = batch.column("id"), batch.column("mark")
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             for at, some in _groups(texts, SCAN_BYTES):
                 number, hashes, context, first, count = anchors(some, length)
                 if len(number):
+                    rank = _ranks(ids.slice(at, len(some)).to_pylist(), marks.slice(at, len(some)).to_pylist())[number]
+                    place = first * 256 + count
+                    again, met = _seen_together(hashes, context, rank, place)
                     take = pa.array(number + at)
-                    columns = [pa.array(hashes), pa.array(context), ids.take(take), marks.take(take), pa.array(first * 256 + count)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "id", "mark", "place"])
+                    columns = [pa.array(hashes), pa.array(context), ids.take(take), marks.take(take), pa.array(place), pa.array(again), pa.array(met)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "id", "mark", "place", "again", "met"])
 
-    places = known.mapInArrow(scan, f"anchor long, context long, id {kind}, mark long, place long")
+    places = known.mapInArrow(scan, f"anchor long, context long, id {kind}, mark long, place long, again boolean, met boolean")
     # Neighbours in the order of an anchor tell whether a place is the first of its context and alone.
-    order = Window.partitionBy("anchor").orderBy("context", "id", "mark", "place")
+    # Places that the scan itself has seen again are spread evenly: of a hot anchor, only one place per
+    # context and scan remains in its group.
+    spread = F.when(F.col("again"), F.xxhash64("id", "mark", "place")).otherwise(F.lit(0).cast("long"))
+    order = Window.partitionBy("anchor", spread).orderBy("context", "id", "mark", "place")
     same_row = F.lag("id").over(order).eqNullSafe(F.col("id")) & (F.lag("mark").over(order) == F.col("mark")) & (F.lag("place").over(order) == F.col("place"))
-    again = F.coalesce((F.lag("context").over(order) == F.col("context")) & ~same_row, F.lit(False))
-    alone = F.lag("place").over(order).isNull() & F.lead("place").over(order).isNull()
+    again = F.col("again") | F.coalesce((F.lag("context").over(order) == F.col("context")) & ~same_row, F.lit(False))
+    alone = ~F.col("met") & F.lag("place").over(order).isNull() & F.lead("place").over(order).isNull()
     told = places.select("id", "mark", "place", again.alias("again"), alone.alias("alone")).where("not alone")
     # Of a place the list keeps 2 * place, plus one if its context has to be sorted.
     listed = F.col("place") * 2 + (~F.col("again")).cast("long")
@@ -231,12 +259,16 @@ def repeated_runs(
         if not parts:
             return
         table = pa.Table.from_batches(parts)
+        # Contexts with an anchor of their own have no string in common with any other.
+        _, which, times = np.unique(table.column("anchor").to_numpy(), return_inverse=True, return_counts=True)
+        table = table.filter(pa.array(times[which] > 1))
+        if not table.num_rows:
+            return
         pieces = table.column("context").to_pylist()
         held = np.array([len(p) - length + 1 for p in pieces])
-        keys = list(zip(*[table.column(c).to_pylist() for c in ("id", "mark", "first")]))
-        ordered = sorted(set(keys), key=lambda k: (k[0] is not None, k[0] if k[0] is not None else 0, *k[1:]))
-        numbers = dict(zip(ordered, range(len(ordered))))
-        rank = np.array([numbers[k] for k in keys])
+        firsts = table.column("first").to_numpy()
+        rank = _ranks(table.column("id").to_pylist(), table.column("mark").to_pylist()) * (int(firsts.max()) + 1) + firsts
+        rank = np.unique(rank, return_inverse=True)[1]
         context, offset = repeated_strings(pieces, held, rank, length)
         if not len(context):
             return
@@ -257,7 +289,7 @@ def repeated_runs(
     spans = found.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             for body, places, shared in zip(*[batch.column(c).to_pylist() for c in ("text", "places", "spans")]):
                 data, at, kept, runs = body.encode(), 0, [], 0
