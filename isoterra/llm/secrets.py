@@ -30,6 +30,14 @@ class Rule:
     least: int
 
 
+# What follows the first line of a private key. Up to its last line anything but another line of dashes may
+# stand, such as quoting or indents. Without a last line: headers, base64 in one line, and whole lines of it.
+# Repeated groups are counted, since Java's matcher needs stack for each turn of one.
+_TO_THE_END = r"[^-]*(?:-{1,4}[^-]+){0,200}-{5,6}END [A-Z ]*PRIVATE KEY-----"
+_KEY_LINES = (
+    r"(?:[ \t]*\r?\n[ \t]*[A-Za-z-]+: [^\r\n]*){0,9}[ \t\r\n]*[A-Za-z0-9+/=\\]{16,}"
+    r"(?:[ \t]+[A-Za-z0-9+/=\\]{16,}){0,60}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=\\]+){0,500}"
+)
 # Patterns of the base kinds, then of the kinds this operator adds. A maximal run of hex
 # digits is found by the length itself, so the many short runs of plain words are never listed.
 BASE = (
@@ -41,7 +49,7 @@ ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 20),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_THE_END}|{_KEY_LINES}|)", 0, 27),
 )
 RULES = BASE + ADDED
 MASK = "[secret]"
