@@ -26,15 +26,36 @@ TITLES = {
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ha jo ka ke la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se si so ta te ti to va ve vi wa".split(),
     "cyrillic": "ба бе бо ва ве да де до за зе ка ке ла ле ли ло ма ме ми мо на не ни но па ра ре ри ро са се си со та те ти то".split(),
+    "arabic": [a + b for a in "بتجدرسفكلمنه" for b in "اوي"],
+    "hebrew": [a + b for a in "בגדזלמנרשת" for b in "אוי"],
+    "devanagari": list("कखगचजतदनपबमयरलवसह"),
+    "han": list("安白成德东方国海和江金立林明平青山文新雨"),
+    "kana": list("アイウエオカキクケコサシスセソタチテトナニノハマミモヤユラリル"),
+    "hangul": list("가강경기나다도동라마민바보사서수영우유은이인재정주지진하현호"),
     "greek": "βα γα δα δη κα κη λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε τι το".split(),
 }
 ENDINGS = {
     "latin": {"m": ["n", "r", "s"], "f": ["a", "na", "la"], "n": ["n", "l", "m"]},
     "cyrillic": {"m": ["н", "р", "в"], "f": ["а", "на", "я"], "n": ["н", "л", "к"]},
+    "arabic": {"m": ["ر", "ن", "د"], "f": ["ة", "ى", "اء"], "n": ["ل", "م", "ب"]},
+    "hebrew": {"m": ["ן", "ר", "ל"], "f": ["ה", "ית", "ת"], "n": ["ם", "ב", "ד"]},
+    "devanagari": {"m": ["न", "र", "त"], "f": ["आ", "ई", "इया"], "n": ["ल", "म", "य"]},
+    "han": {"m": ["伟", "强", "军"], "f": ["芳", "娜", "丽"], "n": ["宁", "华", "春"]},
+    "kana": {"m": ["オ", "ロウ", "タ"], "f": ["コ", "ミ", "エ"], "n": ["キ", "ミ", "オ"]},
+    "hangul": {"m": ["훈", "준", "석"], "f": ["희", "미", "숙"], "n": ["연", "빈", "윤"]},
     "greek": {"m": ["ς", "ος", "ης"], "f": ["α", "η", "ια"], "n": ["ν", "ς", "ου"]},
 }
+# First and last letters by script; names of any other script get Latin surrogates.
+LETTERS = {
+    "greek": "Ͱ-Ͽ", "cyrillic": "Ѐ-ԯ", "hebrew": "א-ת", "arabic": "ؠ-ۿ", "devanagari": "ऀ-ॿ",
+    "kana": "ぁ-ヿ", "han": "㐀-鿿", "hangul": "가-힣",
+}
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
-SUSPECT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(^|[^\p{{L}}])({_TITLE})\.? \p{{Lu}}"
+# What every match of the detectors below contains, for Java's matcher: an at sign; two digits with a digit or
+# separator between them; a digit after a plus sign; a country code and a digit; a title and what may begin a
+# name (a capital of ASCII or anything beyond ASCII). A digit is any that Python may know and Java may not yet.
+_DIGIT = r"[\p{Nd}\p{Cn}]"
+SUSPECT = rf"@|{_DIGIT}[\p{{Nd}}\p{{Cn}} .-]{_DIGIT}|\+{_DIGIT}|[A-Z]{{2}}{_DIGIT}|({_TITLE})\.? [^\x00-\x40\x5B-\x7F]"
 _EMAIL = r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 _IP = r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
 _PHONE = r"(?P<phone>\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,4}(?!\d)|(?<![\d.-])\(\d{2,4}\) ?\d{3}[ -]?\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-]))"
@@ -62,10 +83,22 @@ def _gender(title: str) -> str:
     return next(g for g, titles in TITLES.items() if title in titles)
 
 
+def _ascii(c: str) -> str:
+    """A digit of any script as 0 to 9; other characters as they are."""
+    return str(int(c)) if c.isdecimal() else c
+
+
+def _like(digit: str, c: str) -> str:
+    """A digit 0 to 9 in the script of another digit; the digits of a script follow each other."""
+    return chr(ord(c) - int(c) + int(digit)) if c.isdecimal() and digit.isdecimal() else digit
+
+
 def canonical(kind: str, text: str) -> str:
     """What all spellings of one entity share."""
     if kind in ("phone", "card", "ssn"):
-        return "".join(c for c in text if c.isdigit())
+        return "".join(_ascii(c) for c in text if c.isdecimal())
+    if kind in ("iban", "ip"):
+        text = "".join(map(_ascii, text))
     return text.replace(" ", "").upper() if kind == "iban" else text.casefold()
 
 
@@ -112,7 +145,7 @@ def _digits(draw: _Draws, text: str, keep: int = 0) -> str:
 
 def _script(word: str) -> str:
     first = next((c for c in word if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= first <= "ԯ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
+    return next((s for s, (least, _, most) in LETTERS.items() if least <= first <= most), "latin")
 
 
 def _name_word(draw: _Draws, word: str, gender: str) -> str:
@@ -160,7 +193,9 @@ def _dressed(original: str, kind: str, new: str) -> str:
     """The canonical surrogate in the format of one mention: separators, grouping, capitals."""
     if kind in ("phone", "card", "ssn", "iban"):
         letters = iter(new)
-        return "".join(next(letters) if c.isalnum() else c for c in original)
+        return "".join(_like(next(letters), c) if c.isalnum() else c for c in original)
+    if kind == "ip":
+        return "".join(_like(c, original[0]) for c in new)
     if original.isupper():
         return new.upper()
     return new.title() if kind == "name" else new.capitalize() if original[:1].isupper() else new

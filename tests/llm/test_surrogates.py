@@ -2,8 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from isoterra.llm.surrogates import KINDS, _luhn, assign, canonical, mentions, replace_personal, surrogate
+from isoterra.llm.surrogates import KINDS, SUSPECT, _luhn, assign, canonical, mentions, replace_personal, surrogate
 
 KEY = b"test key"
 SCHEMA = "response_id long, body string"
@@ -68,6 +69,30 @@ def test_distinct_even_in_a_small_format(spark):
             module.MOST_DRAWS = draws
 
 
+def test_every_entity_is_suspicious(spark):
+    numbers = ["+49 30 12 34 56 78", "+45 12 34 56 78", "41 11 11 11 11 11 11 11", "+٤٩ ٣٠ ١٢ ٣٤ ٥٦ ٧٨", "१.२.३.४", "(12) 345-6789", "4-1-1-1-1-1-1-1-1-1-1-1-1"]
+    numbers += ["AB12 CDEF GHIJ", "१२३-४५-६७८९", "+𞅀𞅁 𞅂𞅃", "+1 23 45", "𞓰𞓱𞓲-𞓳𞓴-𞓵𞓶𞓷𞓸"]
+    names = ["王明", "محمد", "ärger", "דוד", "さくら", "민수", "ჯონი", "Ωmega", "ǅabc", "ªbc", "Āb"]
+    draw, texts = random.Random(5), [*numbers, *[f"Dr {n}" for n in names], *[f"Sra. {n}" for n in names]]
+    for _ in range(40_000):
+        letters = draw.choice(("0123456789+-(). ", "01٠१ -.+()AZ", "AZ09 a@.-", "ÄéΩж王 DrMs."))
+        texts.append("".join(draw.choice(letters) for _ in range(draw.randint(5, 24))))
+        texts.append(f"{draw.choice(('Dr', 'Mme.', 'Sir'))} {chr(draw.choice((draw.randrange(0x41, 0x3000), draw.randrange(0x10000, 0x1F000))))}b")
+    texts = [t for t in texts if mentions(t)]
+    assert len(texts) > 5000 and all(any(n in t for t in texts) for n in numbers[:7] + names)
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.where(~F.col("t").rlike(SUSPECT)).collect()] == []
+
+
+def test_numbers_and_names_of_other_scripts(spark):
+    rows = [(1, "call +49 30 12 34 56 78"), (2, "123 and +49 30 12 34 56 78, also +٤٩ ٣٠ ١٢ ٣٤ ٥٦ ٧٨"), (3, "Dr 王明"), (4, "Dr محمد and Dr 王明")]
+    got = dict(replace_personal(spark.createDataFrame(rows, SCHEMA), KEY).select("response_id", "body").collect())
+    number = got[1].removeprefix("call ")
+    assert re.fullmatch(r"\+4\d \d\d \d\d \d\d \d\d \d\d", number) and number != "+49 30 12 34 56 78"
+    assert got[2] == f"123 and {number}, also {number.translate(str.maketrans('0123456789', '٠١٢٣٤٥٦٧٨٩'))}"
+    assert re.fullmatch(r"Dr [㐀-鿿]+", got[3]) and re.fullmatch(rf"Dr [ؠ-ۿ]+ and {got[3]}", got[4]) and "王明" not in got[3]
+
+
 def test_formats():
     draw = random.Random(1)
     for n in range(200):
