@@ -148,9 +148,10 @@ def _script(word: str) -> str:
     return next((s for s, (least, _, most) in LETTERS.items() if least <= first <= most), "latin")
 
 
-def _name_word(draw: _Draws, word: str, gender: str) -> str:
+def _name_word(draw: _Draws, word: str, gender: str, attempt: int = 0) -> str:
+    """A word of about the same length; every second redraw adds a syllable, so short names never run out."""
     script = _script(word)
-    count = max(1, min(4, len(word) // 2 - 1)) + draw.below(2)
+    count = max(1, min(4, len(word) // 2 - 1)) + draw.below(2) + attempt // 2
     return "".join(draw.pick(SYLLABLES[script]) for _ in range(count)) + draw.pick(ENDINGS[script][gender or "n"])
 
 
@@ -186,7 +187,7 @@ def surrogate(key: bytes, kind: str, entity: str, gender: str = "", attempt: int
         return f"{entity[:2]}{98 - int(number) % 97:02d}{body}"
     if kind in ("phone", "ssn"):
         return _digits(draw, entity, 1 if kind == "phone" else 0)
-    return " ".join(_name_word(_Draws(key, kind, w, gender, attempt), w, gender) for w in entity.split(" "))
+    return " ".join(_name_word(_Draws(key, kind, w, gender, attempt), w, gender, attempt) for w in entity.split(" "))
 
 
 def _dressed(original: str, kind: str, new: str) -> str:
@@ -214,7 +215,11 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, gender, surrogate): distinct surrogates, none of which is an entity itself.
 
     All entities draw; those whose draw is taken, or is an entity of the corpus, draw again until none is
-    left. Clashes are found by joins on the surrogate, so no task sees all entities.
+    left. Clashes are found by joins on the surrogate, so no task sees all entities. Names and mail
+    addresses grow with the redraws and never run out. A number keeps its digit groups, and a phone or card
+    its first digit, an account its country, a private network address its network: where a corpus holds
+    about half of all such numbers or more, there are not enough others, and no table is given but an
+    error that tells the kinds, how many entities are left and the length of the shortest.
     """
 
     def draw(rows: DataFrame) -> DataFrame:
@@ -238,7 +243,9 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
             return judged.select(*fields, "surrogate")
         redrawn = draw(again.select(*fields, (F.col("attempt") + 1).alias("attempt"))).withColumn("settled", F.lit(False))
         drawn = cut(judged.where("settled").unionByName(redrawn))
-    raise ValueError(f"no distinct surrogates after {MOST_DRAWS} draws")
+    left = drawn.where(~F.col("settled")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("canonical")).alias("size"))
+    told = ", ".join(f"{r['n']} of kind {r['kind']} (from {r['size']} characters on)" for r in left.orderBy("kind").collect())
+    raise ValueError(f"no distinct surrogates after {MOST_DRAWS} draws: {told}")
 
 
 def replace_personal(responses: DataFrame, key: bytes, response_id: str = "response_id", body: str = "body") -> DataFrame:

@@ -69,6 +69,20 @@ def test_distinct_even_in_a_small_format(spark):
             module.MOST_DRAWS = draws
 
 
+def test_short_names_never_run_out(spark):
+    # More names after titles of men than the 5,418 surrogates of one or two Latin syllables.
+    names = [f"{a}{b}{c}" for a in "bcdfghjklmnpqrstvwxz" for b in "abcdefghijklmnopqrst" for c in "uvwxyzaeiopqrst"]
+    frame = spark.createDataFrame([("name", n, "m") for n in names], "kind string, canonical string, gender string")
+    import isoterra.llm.surrogates as module
+
+    draws, module.MOST_DRAWS = module.MOST_DRAWS, 12
+    try:
+        new = [r["surrogate"] for r in assign(frame.repartition(4), KEY).collect()]
+    finally:
+        module.MOST_DRAWS = draws
+    assert len(names) == len(set(names)) == len(new) == len(set(new)) == 6000 and not set(new) & set(names)
+
+
 def test_every_entity_is_suspicious(spark):
     numbers = ["+49 30 12 34 56 78", "+45 12 34 56 78", "41 11 11 11 11 11 11 11", "+٤٩ ٣٠ ١٢ ٣٤ ٥٦ ٧٨", "१.२.३.४", "(12) 345-6789", "4-1-1-1-1-1-1-1-1-1-1-1-1"]
     numbers += ["AB12 CDEF GHIJ", "१२३-४५-६७८९", "+𞅀𞅁 𞅂𞅃", "+1 23 45", "𞓰𞓱𞓲-𞓳𞓴-𞓵𞓶𞓷𞓸"]
