@@ -194,8 +194,9 @@ def repeated_runs(
     occurrences with equal context only the earliest goes on, and the strings of the others are all
     repeated. A scan tells its own repetitions apart beforehand, so a hot anchor sends few rows. The contexts that go on are sent to the shard of their anchor, and every shard is sorted by
     external induced sorting (`induced`), which tells the strings that differing contexts share. The
-    number of shards follows the bytes to sort, and a shard that is larger than memory is sorted on
-    disk. Common prefixes are measured between final neighbours instead of being carried through the
+    number of shards follows the bytes to sort. A task gathers its whole shard in memory and holds it there
+    several times over; only the text, the slots and the result of the sort become files when large. As an
+    anchor is never split, one whose contexts differ in more bytes than that does not fit. Common prefixes are measured between final neighbours instead of being carried through the
     sort: only `length` bytes count here, and comparing those costs less than carrying them.
 
     A null text counts as empty. Rows that repeat an id are ordered by a hash of their texts; if the
