@@ -9,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoterra.llm.alignment import aligned_names
 from isoterra.llm.archive import read_archive, write_archive
 from isoterra.llm.contamination import find_contamination
+from isoterra.llm.facets import alike_facets
 from isoterra.llm.fertility import judge_names
 from isoterra.llm.language import held_out, identify_language
 from isoterra.llm.packing import pack_places
@@ -19,6 +21,7 @@ from isoterra.llm.secrets import BASE, RULES, find_secrets, span_text
 from isoterra.llm.simhash import near_copies
 from isoterra.llm.surrogates import replace_personal
 from isoterra.llm.tokenfile import read_token_files, write_token_files
+from isoterra.llm.variants import spelling_variants
 
 # Key of the surrogates in these queries; a user keeps an own one secret.
 SURROGATE_KEY = b"isoterra example key"
@@ -178,11 +181,80 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(F.col("place_id").alias("doc_id"), held_out(F.col("place_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_alike_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    facets = table(spark, sf, "embeddings", F.col("vec_id").alias("tid"), F.col("embedding").alias("direction"))
+    found = alike_facets(facets, F.col("tid") % 20 == 0, ["tid"])
+    return found.withColumnsRenamed({"asked_tid": "query_id", "tid": "vec_id"})
+
+
+OP11_SQL = """
+with vec as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) score
+  from vec q join vec c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20"""
+
+
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    places = as_places(table(spark, sf, "documents", "doc_id", "text"))
+    vocabularies = (public_tokenizers.path(v) for v in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned_names(places, *vocabularies, keys=["place_id"]).withColumnRenamed("place_id", "doc_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(as_places(table(spark, sf, "documents", "doc_id", "text")), ["place_id"])
+
+
+# The checksum is folded byte by byte over a table derived from its polynomial; words at one edit share what is left without one letter.
+OP13_SQL = r"""
+with recursive
+crc_table as (
+  select list(c order by i) t from (
+    select i, list_reduce(range(8), lambda c, s: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i) c
+    from range(256) r(i)) x),
+run as (
+  select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w, count(*) n
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) r from documents) x
+  group by all),
+coded as (
+  select w, n, xor(list_reduce(
+    list_transform(regexp_extract_all(hex(encode(concat(coalesce(cast(doc_id as varchar), ''), ':', w))), '..'), lambda x: cast(concat('0x', x) as bigint)),
+    lambda c, x: xor(c // 256, t[cast(xor(c % 256, x) as bigint) + 1]), 4294967295::bigint), 4294967295) h
+  from run, crc_table),
+word as (
+  select word, cast(sum(n) as bigint) n from (
+    select case when h % 97 = 0 then concat(left(w, cast(h % length(w) as int)), substr(w, cast(h % length(w) as int) + 2)) else w end word, n
+    from coded) x
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cutout as (select word, n, i, concat(left(word, i - 1), substr(word, i + 1)) part from (select word, n, unnest(range(1, length(word) + 1)) i from word) x),
+link as (
+  select a.word, b.word other, b.n from cutout a join cutout b on a.part = b.part and a.i = b.i where a.word <> b.word
+  union
+  select a.word, b.word, b.n from cutout a join word b on a.part = b.word
+  union
+  select b.word, a.word, a.n from cutout a join word b on a.part = b.word),
+best as (select word, count(*) n_near, arg_min(other, (-n, other)) form, max(n) form_n from (select distinct * from link) x group by word),
+judged as (
+  select w.word, w.n, coalesce(n_near, 0) n_near, case when form_n >= 2 * w.n then form end form, case when form_n >= 2 * w.n then form_n end form_n
+  from word w left join best b on b.word = w.word),
+chain as (
+  select word, word root, form nxt from judged
+  union all
+  select c.word, j.word, j.form from chain c join judged j on j.word = c.nxt)
+select j.word, j.form, c.root, j.n, j.n_near, j.form_n from judged j join chain c on c.word = j.word and c.nxt is null"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_decontamination, op3_repeats, op4_fertility, op5_surrogates, op6_secrets, op7_archive, op8_packing,
-        op9_token_files, op10_language,
+        op9_token_files, op10_language, op11_alike_vectors, op12_token_alignment, op13_spelling_variants,
     )
 }
-ORACLES = {"op2_decontamination": OP2_SQL, "op6_secrets": _op6_sql(), "op7_archive": _op7_sql()}
+ORACLES = {
+    "op2_decontamination": OP2_SQL, "op6_secrets": _op6_sql(), "op7_archive": _op7_sql(), "op11_alike_vectors": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL,
+}
