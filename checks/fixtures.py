@@ -31,6 +31,12 @@ from part""",
     "big_grids": """
 select 'g1' grid_id, cast(0 as double) x0, cast(1 as double) dx, cast(0 as double) rx, cast(0 as double) y0,
   cast(0 as double) ry, cast(-1 as double) dy, 100 width, cast(count(*) {div} 100 as int) height
+from orders""",
+    # Heights along 1,025 columns, the corners of 32 tiles of 33 cells a side.
+    "lattice": """
+select o_orderkey {div} 1025 r, o_orderkey % 1025 c,
+  cast(case when o_orderkey % 977 = 5 then null
+       else 300 + 10 * abs((o_orderkey % 1025) % 40 - 20) + 5 * abs((o_orderkey {div} 1025) % 30 - 15) + o_custkey % 3 end as float) elev
 from orders""",
     "points": """
 select event_id point_id, 'g0' grid_id,
@@ -131,7 +137,7 @@ from events""",
 }
 
 SOURCES = {
-    "dem_raw": "part", "big_raw": "orders", "grids": "part", "big_grids": "orders", "points": "events",
+    "dem_raw": "part", "big_raw": "orders", "grids": "part", "big_grids": "orders", "lattice": "orders", "points": "events",
     "locations": "customer", "boxes": "supplier", "unit_text": "part", "cache_log": "events", "cache_entries": "events",
     "angle_text": "customer", "jobs": "customer", "loops": "orders", "soup_vertices": "part", "soup_triangles": "part",
     "places_text": "customer", "poi_text": "customer", "run_files": "orders", "run_stages": "events",

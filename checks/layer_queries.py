@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.fixtures import big, clean, dem, derived, grids, levels, members, oracle, query, rounded
-from checks.mesh_queries import PLAIN, color_sql
+from checks.mesh_queries import PLAIN, color_sql, facet_sql
 from isoterra.functions.color import color_rgb, parse_hex, to_hex
 from isoterra.operators import components as areas
 from isoterra.operators import levels as lv
@@ -295,7 +295,25 @@ def ring_points(spark, sf, **options):
     return rings.rings(cells, grids(spark, sf), **options)
 
 
-@query("d6_filled_cells")
+# Cells that no path over free cells and sides joins to the outside of the grid.
+FILLED_SQL = """, free as (
+  select l.layer, r, c from (select distinct layer from {members}) l, range(-1, (select max(grid_row) + 2 from dem)) a(r), range(-1, 51) b(c)
+  except select layer, grid_row, grid_col from {members}),
+outside as (
+  select layer, r, c from free where r = -1
+  union select f.layer, f.r, f.c from outside o join free f on f.layer = o.layer and abs(f.r - o.r) + abs(f.c - o.c) = 1
+    and f.r between o.r - 1 and o.r + 1 and f.c between o.c - 1 and o.c + 1),
+filled as (
+  select 'g0' grid_id, l.layer, r grid_row, c grid_col
+  from (select distinct layer from {members}) l, range(0, (select max(grid_row) + 1 from dem)) a(r), range(0, 50) b(c)
+  except select 'g0', layer, r, c from outside)"""
+
+
+@query(
+    "d6_filled_cells",
+    oracle("members") + FILLED_SQL.format(members="members")
+    + " select grid_id, cast(layer as int) as layer, cast(grid_row as int) as grid_row, cast(grid_col as int) as grid_col from filled",
+)
 def d6_filled(spark, sf):
     return raster.filled_cells(ring_points(spark, sf), grids(spark, sf))
 
@@ -414,15 +432,16 @@ def k2(spark, sf):
 @query(
     "k2_feature_wkt",
     oracle("loops")
-    + """, told as (select *, format('{:.6g} {:.6g}', x, y) p from loops),
-rings as (select grid_id, layer, polygon_id, ring_id, '(' || string_agg(p, ', ' order by seq) || ', ' || first(p order by seq) || ')' r from told group by all)
-select grid_id, layer, polygon_id, 'POLYGON (' || string_agg(r, ', ' order by ring_id) || ')' wkt from rings group by all""",
+    + """, told as (select *, format('{:.6g} {:.6g}', x, y) p from loops)
+select grid_id, layer, polygon_id, ring_id, cast(-1 as bigint) part, case when ring_id = 0 then 'POLYGON ((' else ', (' end as value from told where seq = 0
+union all select grid_id, layer, polygon_id, ring_id, 4611686018427387904, ', ' || p || ')' from told where seq = 0
+union all select grid_id, layer, polygon_id, ring_id, cast(seq // 8192 as bigint),
+  case when seq // 8192 > 0 then ', ' else '' end || string_agg(p, ', ' order by seq) from told group by grid_id, layer, polygon_id, ring_id, seq // 8192
+union all select grid_id, layer, polygon_id, 4611686018427387904, 4611686018427387904, ')' from told where ring_id = 0 and seq = 0""",
 )
 def k2_wkt(spark, sf):
-    parts = features.feature_geometry(loops(spark, sf))
-    whole = F.array_sort(F.collect_list(F.struct("ring_id", "part", "value")))
-    texts = parts.groupBy("grid_id", "layer", "polygon_id").agg(whole.alias("_p"))
-    return texts.select("grid_id", "layer", "polygon_id", F.array_join(F.transform("_p", lambda p: p["value"]), "").alias("wkt"))
+    """The ordered pieces of every polygon's text; none holds more than a block of a ring."""
+    return features.feature_geometry(loops(spark, sf))
 
 
 GEOJSON_SQL = """, named as (
@@ -460,12 +479,39 @@ def surface(spark, sf):
     return products.terrain_mesh(dem(spark, sf), grids(spark, sf)).mesh
 
 
-@query("k4_stl")
+STL_SQL = facet_sql("quad", "-151.0::double", "0.01::double", "63.0::double", "-0.01::double")
+
+
+@query(
+    "k4_stl",
+    oracle("pairs") + ", quad as (select * from pairs)" + STL_SQL
+    + """ select 'g0' as mesh_id, 1 as section, cast((r * 50 + c) * 2 + n as bigint) as line, value from facet
+union all select 'g0', 0, 0, 'solid topographic_model' union all select 'g0', 2, 0, 'endsolid topographic_model'""",
+)
 def k4(spark, sf):
     return meshtext.stl_lines(surface(spark, sf), bed_mm=200.0)
 
 
-@query("k5_obj")
+TEXT_SQL = """, vertex as (select r, c, z, row_number() over (order by r, c) - 1 n, format('{:.6f}', -151.0::double + c * 0.01::double) || ' '
+  || format('{:.6f}', 63.0::double + r * -0.01::double) || ' ' || format('{:.6f}', z) p from corner),
+box as (select min(z) lo, max(z) hi from vertex),
+face as (select (r * 50 + c) * 2 + k tid, r, c, k, (z10 + z01 + case when k = 0 then z00 else z11 end) total, case when k = 0 then z00 + z10 + z01 else z10 + z11 + z01 end / 3.0 mean from pairs, range(0, 2) t(k)),
+told as (select f.tid, f.mean, v0.n n0, v1.n n1, v2.n n2 from face f
+  join vertex v0 on v0.r = f.r and v0.c = f.c + k
+  join vertex v1 on v1.r = f.r + k and v1.c = f.c + 1
+  join vertex v2 on v2.r = f.r + 1 and v2.c = f.c)"""
+
+
+@query(
+    "k5_obj",
+    oracle("pairs") + ", " + PLAIN + TEXT_SQL
+    + """, banded as (select *, cast(trunc(least(greatest((mean - lo) / (hi - lo), 0.0), 1.0) * 9) as int) band, lo + (hi - lo) * (cast(trunc(least(greatest((mean - lo) / (hi - lo), 0.0), 1.0) * 9) as int) / 9.0) elevation from told, box),
+marked as (select *, coalesce(lag(band) over (order by tid) <> band, true) changed from banded)
+select 'g0' as mesh_id, 1 as section, cast(0 as bigint) as line, 'g g0' || chr(10) || 'o g0' as value
+union all select 'g0', 2, n, 'v ' || p from vertex union all select 'g0', 3, n, 'vn 0.000000 0.000000 1.000000' from vertex
+union all select 'g0', 4, tid, case when changed then 'usemtl elevation_' || cast(trunc(elevation) as int) || 'm' || chr(10) else '' end
+  || 'f ' || (n0 + 1) || '//' || (n0 + 1) || ' ' || (n1 + 1) || '//' || (n1 + 1) || ' ' || (n2 + 1) || '//' || (n2 + 1) from marked""",
+)
 def k5(spark, sf):
     return meshtext.obj_lines(surface(spark, sf), bands=10)
 
@@ -487,7 +533,16 @@ def k5_mtl(spark, sf):
     return meshtext.mtl_lines(style.band_materials(ranges, 10, key="mesh_id"))
 
 
-@query("k6_ply")
+@query(
+    "k6_ply",
+    oracle("pairs") + ", " + PLAIN + TEXT_SQL
+    + """ select 'g0' as mesh_id, 0 as section, cast(0 as bigint) as line, 'ply' || chr(10) || 'format ascii 1.0' || chr(10) || 'element vertex ' || (select count(*) from vertex) || chr(10)
+  || array_to_string(list_transform(['x', 'y', 'z', 'nx', 'ny', 'nz'], lambda p: 'property float ' || p || chr(10)), '')
+  || array_to_string(list_transform(['red', 'green', 'blue'], lambda p: 'property uchar ' || p || chr(10)), '')
+  || 'element face ' || (select count(*) from told) || chr(10) || 'property list uchar int vertex_indices' || chr(10) || 'end_header' as value
+union all select 'g0', 1, n, p || ' 0.000000 0.000000 1.000000 ' || cast(trunc(255 * (z - lo) / (hi - lo)) as int) || ' ' || (255 - cast(trunc(255 * (z - lo) / (hi - lo)) as int)) || ' 0' from vertex, box
+union all select 'g0', 2, tid, '3 ' || n0 || ' ' || n1 || ' ' || n2 from told""",
+)
 def k6(spark, sf):
     return meshtext.ply_lines(surface(spark, sf))
 
@@ -512,7 +567,13 @@ def p2(spark, sf):
     )
 
 
-@query("p3_layered_solid")
+@query(
+    "p3_layered_solid",
+    oracle("clean", "span")
+    + """, five as (select i layer, min_elev + i * ((max_elev - min_elev) / 5) lower_ from span, range(0, 5) t(i)),
+held as (select layer, grid_row, grid_col from clean, five where cast(elev as double) >= lower_)"""
+    + FILLED_SQL.format(members="held") + SOLID_SQL.replace("members", "filled"),
+)
 def p3(spark, sf):
     return products.layered_solid(dem(spark, sf), grids(spark, sf), products.Job(layers=5)).report
 

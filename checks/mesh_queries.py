@@ -19,6 +19,37 @@ PLAIN = SURFACE_SQL.format(keep="true", z="z")
 TRIANGLE_SQL = " select mesh_id, cast(tid as bigint) as tid, cast(v0 as bigint) as v0, cast(v1 as bigint) as v1, cast(v2 as bigint) as v2 from "
 
 
+def facet_sql(quads: str, x0: str, dx: str, y0: str, dy: str, bed: float = 200.0) -> str:
+    """CTEs `corner3` and `facet` (tid, value): the STL text of two triangles per quad (r, c, z00, z10, z01, z11), fitted to a bed."""
+
+    def at(corner: str, k: int) -> str:
+        row, col = ("r + 1" if corner in "cd" else "r"), ("c + 1" if corner in "bd" else "c")
+        z = {"a": "z00", "b": "z10", "c": "z01", "d": "z11"}[corner]
+        return f"({x0}) + ({col}) * ({dx}) x{k}, ({y0}) + ({row}) * ({dy}) y{k}, {z} z{k}"
+
+    def triangle(n: int, corners: str) -> str:
+        return f"select r, c, {n} n, {', '.join(at(p, k) for k, p in enumerate(corners))} from {quads}"
+
+    def text(*values: str) -> str:
+        return " || ' ' || ".join(f"format('{{:.6f}}', {v} + 0.0)" for v in values)
+
+    spans = ", ".join(f"min({c}) lo_{c}, max({c}) hi_{c}" for c in "xyz")
+    points = " union all ".join(f"select x{k} x, y{k} y, z{k} z from corner3" for k in range(3))
+    cross = [("y", "z"), ("z", "x"), ("x", "y")]
+    normal = ", ".join(
+        f"({a}1 - {a}0) * ({b}2 - {b}0) - ({b}1 - {b}0) * ({a}2 - {a}0) n{c}" for c, (a, b) in zip("xyz", cross)
+    )
+    vertices = " || chr(10) || ".join(
+        "'      vertex ' || " + text(*[f"({c}{k} - (lo_{c} + hi_{c}) / 2.0) * scale" for c in "xyz"]) for k in range(3)
+    )
+    return f""", corner3 as ({triangle(0, "abc")} union all {triangle(1, "bdc")}),
+extent as (select {spans} from ({points}) t),
+sized as (select *, {bed * 0.9} / greatest(hi_x - lo_x, hi_y - lo_y) scale from extent),
+crossed as (select *, {normal} from corner3, sized),
+facet as (select r, c, n, '  facet normal ' || {text(*[f"n{c} / sqrt(nx * nx + ny * ny + nz * nz)" for c in "xyz"])} || chr(10) || '    outer loop' || chr(10)
+  || {vertices} || chr(10) || '    endloop' || chr(10) || '  endfacet' as value from crossed)"""
+
+
 def surface(spark, sf):
     return heightmap.heightmap_triangles(clean(spark, sf), grids(spark, sf), "terrain", 400.0, 1200.0, vscale=2.0)
 

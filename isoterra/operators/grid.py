@@ -46,12 +46,8 @@ def clean_nonfinite(grid: DataFrame) -> DataFrame:
     return grid.withColumn("elev", F.when(_finite(F.col("elev")), F.col("elev")))
 
 
-def mosaic(grid: DataFrame, grids: DataFrame, mosaic_id: str = "mosaic") -> DataFrame:
-    """Put tiles into one grid; on overlap the tile with the greatest `tile_order` wins, voids never do.
-
-    `grids` carries `tile_order` besides the geometry. All tiles must share cell size and alignment, else an
-    error is raised; the mosaic starts at the north-west corner of all tiles.
-    """
+def _placed(grids: DataFrame) -> DataFrame:
+    """Rectangles of tiles in a mosaic (grid_id, tile_order, _dr, _dc, _rows, _cols), counted in cells from its corner."""
     spans = [F.min("x0").alias("_west"), F.max("y0").alias("_north"), F.max("dx").alias("_dx"), F.max("dy").alias("_dy")]
     placed = attach(grids.withColumn("_all", F.lit(1)), grids.agg(*spans).withColumn("_all", F.lit(1)), ["_all"], ["grid_id"])
 
@@ -61,22 +57,61 @@ def mosaic(grid: DataFrame, grids: DataFrame, mosaic_id: str = "mosaic") -> Data
         fits = (F.abs(F.col(size) - F.col(f"_{size}")) <= F.abs(F.col(size)) * 1e-6) & (F.abs(exact - F.round(exact)) <= 1e-3)
         return F.when(fits, F.round(exact).cast("int")).otherwise(F.raise_error(F.lit("tiles of a mosaic differ in cell size or alignment")))
 
-    shift = placed.select(
+    return placed.select(
         "grid_id",
         "tile_order",
-        steps(F.col("x0") - F.col("_west"), "dx").alias("_dc"),
         steps(F.col("y0") - F.col("_north"), "dy").alias("_dr"),
+        steps(F.col("x0") - F.col("_west"), "dx").alias("_dc"),
+        F.col("height").alias("_rows"),
+        F.col("width").alias("_cols"),
     )
-    cells = attach(grid, shift, ["grid_id"], ["grid_row", "grid_col"])
-    return (
-        cells.groupBy(
-            (F.col("grid_row") + F.col("_dr")).alias("grid_row"),
-            (F.col("grid_col") + F.col("_dc")).alias("grid_col"),
-        )
-        # max_by skips rows whose ordering is NULL, so a void never covers a valid cell.
-        .agg(F.max_by("elev", F.when(F.col("elev").isNotNull(), F.col("tile_order"))).alias("elev"))
-        .select(F.lit(mosaic_id).alias("grid_id"), "grid_row", "grid_col", "elev")
-    )
+
+
+def seams(placed: DataFrame) -> DataFrame:
+    """Per tile the rectangles, in its own rows and columns, that it shares with other tiles.
+
+    Tiles meet in squares as large as the largest tile, of which each touches at most four, so no tile
+    is compared with all others.
+    """
+    side = placed.agg(F.max(F.greatest("_rows", "_cols", F.lit(1))).alias("_side")).withColumn("_all", F.lit(1))
+    sized = attach(placed.withColumn("_all", F.lit(1)), side, ["_all"], ["grid_id"]).drop("_all")
+
+    def squares(first: str, size: str) -> Column:
+        last = F.col(first) + F.greatest(F.col(size), F.lit(1)) - 1
+        return F.sequence(F.floor(F.col(first) / F.col("_side")), F.floor(last / F.col("_side")))
+
+    spread = sized.withColumn("_bin_r", F.explode(squares("_dr", "_rows"))).withColumn("_bin_c", F.explode(squares("_dc", "_cols"))).drop("_side")
+    other = spread.select("_bin_r", "_bin_c", *[F.col(c).alias(f"o{c}") for c in ("grid_id", "_dr", "_dc", "_rows", "_cols")])
+    top, left = F.greatest("_dr", "o_dr"), F.greatest("_dc", "o_dc")
+    bottom, right = F.least(F.col("_dr") + F.col("_rows"), F.col("o_dr") + F.col("o_rows")), F.least(F.col("_dc") + F.col("_cols"), F.col("o_dc") + F.col("o_cols"))
+    shared = spread.join(other, ["_bin_r", "_bin_c"]).where((F.col("grid_id") != F.col("ogrid_id")) & (top < bottom) & (left < right))
+    sides = [("top", top - F.col("_dr")), ("bottom", bottom - F.col("_dr")), ("left", left - F.col("_dc")), ("right", right - F.col("_dc"))]
+    return shared.groupBy("grid_id").agg(F.collect_set(F.struct(*[c.alias(n) for n, c in sides])).alias("_seams"))
+
+
+def mosaic(grid: DataFrame, grids: DataFrame, mosaic_id: str = "mosaic") -> DataFrame:
+    """Put tiles into one grid; on overlap the tile with the greatest `tile_order` wins, voids never do.
+
+    `grids` carries `tile_order` besides the geometry. All tiles must share cell size and alignment, else an
+    error is raised; the mosaic starts at the north-west corner of all tiles.
+
+    Only cells in the rectangles that tiles share, and any outside their tile, are shuffled and compared;
+    all others keep their value and only move. The grid is read twice for this.
+    """
+    # One row per tile, read by the cells of both kinds.
+    placed = _placed(grids)
+    tiles = cut(placed.join(seams(placed).hint("merge"), "grid_id", "left"))
+    cells = attach(grid, tiles, ["grid_id"], ["grid_row", "grid_col"])
+    row, col = F.col("grid_row"), F.col("grid_col")
+    inside = (row >= 0) & (row < F.col("_rows")) & (col >= 0) & (col < F.col("_cols"))
+    in_seam = F.exists("_seams", lambda s: (row >= s["top"]) & (row < s["bottom"]) & (col >= s["left"]) & (col < s["right"]))
+    alone = inside & ~F.coalesce(in_seam, F.lit(False))
+    moved = [(row + F.col("_dr")).alias("grid_row"), (col + F.col("_dc")).alias("grid_col")]
+    own = cells.where(alone).select(F.lit(mosaic_id).alias("grid_id"), *moved, "elev")
+    # max_by skips rows whose ordering is NULL, so a void never covers a valid cell.
+    winner = F.max_by("elev", F.when(F.col("elev").isNotNull(), F.col("tile_order"))).alias("elev")
+    shared = cells.where(~alone).groupBy(*moved).agg(winner).select(F.lit(mosaic_id).alias("grid_id"), "grid_row", "grid_col", "elev")
+    return own.unionByName(shared)
 
 
 def mosaic_geometry(grids: DataFrame, mosaic_id: str = "mosaic") -> DataFrame:
@@ -315,6 +350,16 @@ def with_coords(df: DataFrame, grids: DataFrame, center: bool = False, row: str
     )
 
 
+def beyond_degrees(x: Column, y: Column) -> Column:
+    """Whether a position cannot be one in degrees."""
+    return (F.abs(x) > 360.0) | (F.abs(y) > 180.0)
+
+
+def local_metres(x: Column, y: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
+    """Metres east and north of a centre, from degrees."""
+    return (x - lon0) * METRES_PER_DEGREE_LON * F.cos(F.radians(lat0)), (y - lat0) * METRES_PER_DEGREE_LAT
+
+
 def project_local(
     df: DataFrame, lon0: Column | float, lat0: Column | float, x: str = "x", y: str = "y", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -325,11 +370,10 @@ def project_local(
     """
     lon0 = lon0 if isinstance(lon0, Column) else F.lit(lon0)
     lat0 = lat0 if isinstance(lat0, Column) else F.lit(lat0)
-    beyond = F.max((F.abs(F.col(x)) > 360.0) | (F.abs(F.col(y)) > 180.0)).alias("_projected")
+    beyond = F.max(beyond_degrees(F.col(x), F.col(y))).alias("_projected")
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(1))
     marked = attach(rows, rows.groupBy(*keys).agg(beyond), keys, [x, y])
-    east = (F.col(x) - lon0) * METRES_PER_DEGREE_LON * F.cos(F.radians(lat0))
-    north = (F.col(y) - lat0) * METRES_PER_DEGREE_LAT
+    east, north = local_metres(F.col(x), F.col(y), lon0, lat0)
     moved = marked.withColumns({x: F.when(F.col("_projected"), F.col(x)).otherwise(east), y: F.when(F.col("_projected"), F.col(y)).otherwise(north)})
     return moved.select(*df.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoterra.operators.grid import GEOMETRY, elevation_range
-from isoterra.operators.mesh import Mesh
+from isoterra.operators.mesh import Mesh, corner_columns, cornered_mesh
 from isoterra.spread import attach
 
 # Columns per block of the row pairs: bounds one window group, however wide the grid is.
@@ -67,15 +67,23 @@ def _id(row: Column, col: Column) -> Column:
     return row.cast("long") * F.col("width") + col
 
 
-def _two_triangles(first: Column, a: Column, b: Column, c: Column, d: Column, reverse: bool) -> Column:
-    """Triangles of a quad with corners a (here), b (next column), c (next row), d (both)."""
+# A corner as (vid, x, y, z).
+Point = tuple[Column, Column, Column, Column]
+
+
+def _two_triangles(first: Column, a: Point, b: Point, c: Point, d: Point, reverse: bool) -> Column:
+    """Triangles, with their corners, of a quad with corners a (here), b (next column), c (next row), d (both)."""
     faces = [(a, b, c), (b, d, c)] if not reverse else [(a, c, b), (b, c, d)]
-    return F.array(
-        *[
-            F.struct((first + k).alias("tid"), f[0].alias("v0"), f[1].alias("v1"), f[2].alias("v2"))
-            for k, f in enumerate(faces)
-        ]
-    )
+    return F.array(*[F.struct((first + k).alias("tid"), *corner_columns(list(f))) for k, f in enumerate(faces)])
+
+
+def _position(row: Column, col: Column) -> tuple[Column, Column]:
+    """x and y of a cell."""
+    return F.col("x0") + col * F.col("dx") + row * F.col("rx"), F.col("y0") + col * F.col("ry") + row * F.col("dy")
+
+
+def _vertex(point: Point) -> Column:
+    return F.struct(*[v.alias(c) for c, v in zip(("vid", "x", "y", "z"), point)])
 
 
 def _surface(cells: DataFrame, grids: DataFrame, mode: str, flip: bool, vscale: float) -> Mesh:
@@ -100,24 +108,12 @@ def _surface(cells: DataFrame, grids: DataFrame, mode: str, flip: bool, vscale:
         ids = [cell * 4 + k for k in range(4)]
     else:
         raise ValueError(f"mode must be 'terrain' or 'flat', got {mode!r}")
-    triangles = kept.select(
-        "mesh_id", F.explode(_two_triangles(cell * 2, *ids, reverse=flip)).alias("_t")
-    ).select("mesh_id", "_t.*")
-    points = F.array(
-        *[
-            F.struct(
-                i.alias("vid"),
-                (F.col("x0") + c * F.col("dx") + r * F.col("rx")).alias("x"),
-                (F.col("y0") + c * F.col("ry") + r * F.col("dy")).alias("y"),
-                h.alias("z"),
-            )
-            for i, (r, c), h in zip(ids, corners, heights)
-        ]
-    )
-    vertices = kept.select("mesh_id", F.explode(points).alias("_v")).select("mesh_id", "_v.*")
+    points = [(i, *_position(r, c), h) for i, (r, c), h in zip(ids, corners, heights)]
+    cornered = kept.select("mesh_id", F.explode(_two_triangles(cell * 2, *points, reverse=flip)).alias("_t")).select("mesh_id", "_t.*")
+    vertices = kept.select("mesh_id", F.explode(F.array(*map(_vertex, points))).alias("_v")).select("mesh_id", "_v.*")
     if mode == "terrain":
         vertices = vertices.groupBy("mesh_id", "vid").agg(*[F.any_value(c).alias(c) for c in "xyz"])
-    return Mesh(vertices, triangles)
+    return cornered_mesh(vertices, cornered)
 
 
 def heightmap_triangles(
@@ -180,24 +176,22 @@ def base_platform(grids: DataFrame, base_z: float, flip: bool = False) -> Mesh:
     groups = _all_groups(sized)
     row, col, n = F.col("row"), F.col("col"), _cells_of()
     corners = [(row, col), (row, col + 1), (row + 1, col), (row + 1, col + 1)]
-    ids = [n + _id(r, c) for r, c in corners]
+    level = F.lit(float(base_z))
+    quad = [(n + _id(r, c), *_position(r, c), level) for r, c in corners]
     first = n * 2 + _id(row, col) * 2
-    triangles = groups.select(
-        F.col("grid_id").alias("mesh_id"), F.explode(_two_triangles(first, *ids, reverse=not flip)).alias("_t")
+    cornered = groups.select(
+        F.col("grid_id").alias("mesh_id"), F.explode(_two_triangles(first, *quad, reverse=not flip)).alias("_t")
     ).select("mesh_id", "_t.*")
     points = (
         sized.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
         .repartition("grid_id", "row")
         .withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     )
+    x, y = _position(row, col)
     vertices = points.select(
-        F.col("grid_id").alias("mesh_id"),
-        (n + _id(row, col)).alias("vid"),
-        (F.col("x0") + col * F.col("dx") + row * F.col("rx")).alias("x"),
-        (F.col("y0") + col * F.col("ry") + row * F.col("dy")).alias("y"),
-        F.lit(float(base_z)).alias("z"),
+        F.col("grid_id").alias("mesh_id"), (n + _id(row, col)).alias("vid"), x.alias("x"), y.alias("y"), level.alias("z")
     )
-    return Mesh(vertices, triangles)
+    return cornered_mesh(vertices, cornered)
 
 
 def side_walls(grid: DataFrame, grids: DataFrame, base_z: float, mode: str = "terrain", vscale: float = 1.0) -> Mesh:
@@ -273,44 +267,37 @@ def side_walls(grid: DataFrame, grids: DataFrame, base_z: float, mode: str = "te
     longest = F.greatest("width", "height").cast("long")
     first = n * 4 + (F.col("side") * longest + F.col("at")) * 2
 
+    base = F.lit(float(base_z))
+    start, end_ = (_position(*corner(k)) for k in (0, 1))
+    tops = [(top0, *start, F.col("_z0")), (top1, *end_, F.col("_z1"))]
+    bases = [(base0, *start, base), (base1, *end_, base)]
+
     def face(k: int, one: tuple, other: tuple) -> Column:
-        picks = [F.when(outward, a).otherwise(b).alias(f"v{i}") for i, (a, b) in enumerate(zip(one, other))]
-        return F.struct((first + k).alias("tid"), *picks)
+        picked = [tuple(F.when(outward, u).otherwise(v) for u, v in zip(a, b)) for a, b in zip(one, other)]
+        return F.struct((first + k).alias("tid"), *corner_columns(picked))
 
     faces = F.array(
-        face(0, (top0, base0, top1), (top0, top1, base0)), face(1, (base0, base1, top1), (base0, top1, base1))
-    )
-    triangles = pairs.select(F.col("grid_id").alias("mesh_id"), F.explode(faces).alias("_t")).select("mesh_id", "_t.*")
-
-    def point(vid: Column, step: int, height: Column) -> Column:
-        r, c = corner(step)
-        return F.struct(
-            vid.alias("vid"),
-            (F.col("x0") + c * F.col("dx") + r * F.col("rx")).alias("x"),
-            (F.col("y0") + c * F.col("ry") + r * F.col("dy")).alias("y"),
-            height.alias("z"),
-        )
-
-    base = F.lit(float(base_z))
-    points = F.array(
-        point(top0, 0, F.col("_z0")), point(top1, 1, F.col("_z1")), point(base0, 0, base), point(base1, 1, base)
+        face(0, (tops[0], bases[0], tops[1]), (tops[0], tops[1], bases[0])),
+        face(1, (bases[0], bases[1], tops[1]), (bases[0], tops[1], bases[1])),
     )
+    cornered = pairs.select(F.col("grid_id").alias("mesh_id"), F.explode(faces).alias("_t")).select("mesh_id", "_t.*")
     vertices = (
-        pairs.select(F.col("grid_id").alias("mesh_id"), F.explode(points).alias("_v"))
+        pairs.select(F.col("grid_id").alias("mesh_id"), F.explode(F.array(*map(_vertex, tops + bases))).alias("_v"))
         .select("mesh_id", "_v.*")
         .groupBy("mesh_id", "vid")
         .agg(*[F.any_value(c).alias(c) for c in "xyz"])
     )
-    return Mesh(vertices, triangles)
+    return cornered_mesh(vertices, cornered)
 
 
 def join_parts(*parts: Mesh) -> Mesh:
     """Surface, base and walls of the same grids as one mesh; shared corners are kept once."""
-    vertices, triangles = parts[0].vertices, parts[0].triangles
+    vertices, triangles, cornered = parts[0].vertices, parts[0].triangles, parts[0].cornered
     for part in parts[1:]:
         vertices, triangles = vertices.unionByName(part.vertices), triangles.unionByName(part.triangles)
+        cornered = None if cornered is None or part.cornered is None else cornered.unionByName(part.cornered)
     unique = vertices.groupBy("mesh_id", "vid").agg(*[F.any_value(c).alias(c) for c in "xyz"])
-    return Mesh(unique, triangles)
+    return Mesh(unique, triangles) if cornered is None else cornered_mesh(unique, cornered)
 
 
 def triangulation_stats(grid: DataFrame, grids: DataFrame, base: bool = True, walls: bool = True) -> DataFrame:

@@ -1,6 +1,8 @@
-"""Triangle meshes as two tables: checks, geometry, topology, repair, stacking, lookup, print transform.
+"""Triangle meshes as tables: checks, geometry, topology, repair, stacking, lookup, print transform.
 
-`vertices` is (mesh_id, vid, x, y, z), `triangles` is (mesh_id, tid, v0, v1, v2).
+`vertices` is (mesh_id, vid, x, y, z), `triangles` is (mesh_id, tid, v0, v1, v2). Meshes made from cells also
+carry `cornered`, the triangles with the coordinates of their corners (x0..z2), which are at hand where a
+triangle is born; nothing then looks a corner up.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoterra.spread import attach, lookup
+from isoterra.spread import attach, cut, lookup
 
 # Vertex tolerance, smallest area, height of an elevation band, share of the bed used.
 VERTEX_TOLERANCE = 1e-6
@@ -22,10 +24,32 @@ TRIANGLE = ["mesh_id", "tid"]
 CORNERS = ["v0", "v1", "v2"]
 
 
+COORDINATES = [f"{c}{k}" for k in range(3) for c in "xyz"]
+
+
 @dataclass(frozen=True)
 class Mesh:
     vertices: DataFrame
     triangles: DataFrame
+    cornered: DataFrame | None = None
+
+
+def cornered_mesh(vertices: DataFrame, cornered: DataFrame) -> Mesh:
+    """A mesh of triangles that carry the coordinates of their corners."""
+    return Mesh(vertices, cornered.select(*TRIANGLE, *CORNERS), cornered.select(*TRIANGLE, *CORNERS, *COORDINATES))
+
+
+def corner_columns(points: list[tuple[Column, Column, Column, Column]]) -> list[Column]:
+    """Columns v0..v2 and x0..z2 of three corners (vid, x, y, z)."""
+    ids = [p[0].alias(f"v{k}") for k, p in enumerate(points)]
+    return ids + [v.cast("double").alias(f"{c}{k}") for k, p in enumerate(points) for c, v in zip("xyz", p[1:])]
+
+
+def settled(mesh: Mesh) -> Mesh:
+    """The mesh written once; triangles and their corners are one table if the corners are known."""
+    if mesh.cornered is None:
+        return Mesh(cut(mesh.vertices), cut(mesh.triangles))
+    return cornered_mesh(cut(mesh.vertices), cut(mesh.cornered))
 
 
 def _by_corner(triangles: DataFrame) -> DataFrame:
@@ -44,9 +68,11 @@ def _regroup(cornered: DataFrame, values: dict[str, Column]) -> DataFrame:
 def with_corners(mesh: Mesh) -> DataFrame:
     """Triangles with the coordinates of their corners (x0..z2), NULL where a vertex is missing.
 
-    All three corners are looked up in one join, with hot vertices salted, so the vertex table is
-    shuffled once.
+    Where the mesh does not carry them, all three corners are looked up in one join, so the vertex table
+    is shuffled once.
     """
+    if mesh.cornered is not None:
+        return mesh.cornered
     found = lookup(_by_corner(mesh.triangles), mesh.vertices, ["mesh_id", "vid"], "left")
     return _regroup(found, {"v": F.col("vid"), "x": F.col("x"), "y": F.col("y"), "z": F.col("z")})
 
@@ -86,8 +112,8 @@ def valid_triangles(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> DataFrame:
     return with_corners(mesh).where(_valid(tol)).select(*TRIANGLE, *CORNERS)
 
 
-def triangle_geometry(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> DataFrame:
-    """Unit normal and area per triangle; an invalid one gets (0, 0, 1) and 0."""
+def corner_geometry(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> DataFrame:
+    """Triangles with their corners' coordinates, unit normal, area and validity; an invalid one gets (0, 0, 1) and 0."""
     a, b = _vector(0, 1), _vector(0, 2)
     crossed = with_corners(mesh).withColumns(
         {
@@ -107,6 +133,7 @@ def triangle_geometry(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> DataFrame:
     return sized.select(
         *TRIANGLE,
         *CORNERS,
+        *COORDINATES,
         unit("_cx", 0.0).alias("nx"),
         unit("_cy", 0.0).alias("ny"),
         unit("_cz", 1.0).alias("nz"),
@@ -115,6 +142,11 @@ def triangle_geometry(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> DataFrame:
     )
 
 
+def triangle_geometry(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> DataFrame:
+    """Unit normal and area per triangle; an invalid one gets (0, 0, 1) and 0."""
+    return corner_geometry(mesh, tol).drop(*COORDINATES)
+
+
 def edge_triangles(triangles: DataFrame) -> DataFrame:
     """Long form (mesh_id, lo, hi, tid): every triangle of every undirected edge."""
     sides = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])
@@ -165,8 +197,7 @@ def validate_mesh(mesh: Mesh, tol: float = VERTEX_TOLERANCE) -> DataFrame:
 
 def repair_mesh(mesh: Mesh) -> Mesh:
     """Drop triangles without area; the edges follow from the triangles."""
-    kept = triangle_geometry(mesh).where(F.col("area") >= DEGENERATE_AREA)
-    return Mesh(mesh.vertices, kept.select(*TRIANGLE, *CORNERS))
+    return cornered_mesh(mesh.vertices, corner_geometry(mesh).where(F.col("area") >= DEGENERATE_AREA))
 
 
 def mesh_extents(mesh: Mesh, overall: bool = False) -> DataFrame:
@@ -195,16 +226,17 @@ def stack_meshes(mesh: Mesh, stacked_id: str = "stacked") -> Mesh:
     v_shift, t_shift = offsets(mesh.vertices, "vid"), offsets(mesh.triangles, "tid")
     vertices = attach(mesh.vertices, v_shift, ["mesh_id"], ["vid"])
     shifts = v_shift.join(t_shift, "mesh_id")
-    triangles = attach(mesh.triangles, shifts, ["mesh_id"], ["tid"])
     own = F.lit(stacked_id).alias("mesh_id")
-    return Mesh(
-        vertices.select(own, (F.col("vid") + F.col("_shift_vid")).alias("vid"), "x", "y", "z"),
-        triangles.select(
-            own,
-            (F.col("tid") + F.col("_shift_tid")).alias("tid"),
-            *[(F.col(c) + F.col("_shift_vid")).alias(c) for c in CORNERS],
-        ),
-    )
+
+    def shifted(triangles: DataFrame, *more: str) -> DataFrame:
+        moved = attach(triangles, shifts, ["mesh_id"], ["tid"])
+        corners = [(F.col(c) + F.col("_shift_vid")).alias(c) for c in CORNERS]
+        return moved.select(own, (F.col("tid") + F.col("_shift_tid")).alias("tid"), *corners, *more)
+
+    points = vertices.select(own, (F.col("vid") + F.col("_shift_vid")).alias("vid"), "x", "y", "z")
+    if mesh.cornered is not None:
+        return cornered_mesh(points, shifted(mesh.cornered, *COORDINATES))
+    return Mesh(points, shifted(mesh.triangles))
 
 
 def band_index(mesh: Mesh, height: float = BAND_HEIGHT) -> DataFrame:
@@ -236,23 +268,31 @@ def near_elevation(index: DataFrame, elevation: float, tol: float) -> DataFrame:
     return index.where(touched).select(*TRIANGLE).distinct()
 
 
-def print_transform(mesh: Mesh, factor: float | None = None, bed_mm: float | None = None) -> Mesh:
-    """Centre every mesh on its box and scale all axes alike.
-
-    Either by a factor, or to 0.9 of the bed (1.0 for a mesh without extent).
-    """
+def print_frame(mesh: Mesh, factor: float | None = None, bed_mm: float | None = None) -> DataFrame:
+    """(mesh_id, _scale, _mid_x, _mid_y, _mid_z) of every mesh: the print transform as one row."""
     if (factor is None) == (bed_mm is None):
         raise ValueError("give either factor or bed_mm")
-    box = mesh_extents(mesh)
     if factor is not None:
         scale = F.lit(float(factor))
     else:
         scale = F.when(F.col("xy_extent") > 0, F.lit(bed_mm * BED_SHARE) / F.col("xy_extent")).otherwise(1.0)
-    frame = box.select(
-        "mesh_id", scale.alias("_scale"), *[((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2.0).alias(f"_mid_{c}") for c in "xyz"]
-    )
-    moved = attach(mesh.vertices, frame, ["mesh_id"], ["vid"])
-    vertices = moved.select(
-        "mesh_id", "vid", *[((F.col(c) - F.col(f"_mid_{c}")) * F.col("_scale")).alias(c) for c in "xyz"]
-    )
-    return Mesh(vertices, mesh.triangles)
+    middles = [((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2.0).alias(f"_mid_{c}") for c in "xyz"]
+    return mesh_extents(mesh).select("mesh_id", scale.alias("_scale"), *middles)
+
+
+def printed(column: str) -> Column:
+    """A coordinate column (x, y, z, x0, ...) of rows with a `print_frame`, moved and scaled."""
+    return ((F.col(column) - F.col(f"_mid_{column[0]}")) * F.col("_scale")).alias(column)
+
+
+def print_transform(mesh: Mesh, factor: float | None = None, bed_mm: float | None = None) -> Mesh:
+    """Centre every mesh on its box and scale all axes alike.
+
+    Either by a factor, or to 0.9 of the bed (1.0 for a mesh without extent).
+    """
+    frame = print_frame(mesh, factor, bed_mm)
+    vertices = attach(mesh.vertices, frame, ["mesh_id"], ["vid"]).select("mesh_id", "vid", *[printed(c) for c in "xyz"])
+    if mesh.cornered is None:
+        return Mesh(vertices, mesh.triangles)
+    cornered = attach(mesh.cornered, frame, ["mesh_id"], ["tid"])
+    return cornered_mesh(vertices, cornered.select(*TRIANGLE, *CORNERS, *[printed(c) for c in COORDINATES]))

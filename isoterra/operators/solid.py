@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isoterra.operators.components import MASK, _open_sides
 from isoterra.operators.grid import GEOMETRY
-from isoterra.operators.mesh import Mesh
+from isoterra.operators.mesh import Mesh, corner_columns, cornered_mesh
 from isoterra.spread import attach, cut
 
 _SIDES = ("_n", "_e", "_s", "_w")
@@ -43,8 +43,16 @@ def extrude_layers(cells: DataFrame, slabs: DataFrame, grids: DataFrame, block:
         place = row.cast("long") * (F.col("width") + 1) + col
         return place * 5 + F.when(alone, k + 1).otherwise(0)
 
-    top = [corner_id(k) * 2 + 1 for k in range(4)]
-    low = [corner_id(k) * 2 for k in range(4)]
+    def point(k: int, upper: bool) -> tuple[Column, Column, Column, Column]:
+        row, col = corner(k)
+        return (
+            corner_id(k) * 2 + int(upper),
+            F.col("x0") + col * F.col("dx") + row * F.col("rx"),
+            F.col("y0") + col * F.col("ry") + row * F.col("dy"),
+            F.col("z_top" if upper else "z_base").cast("double"),
+        )
+
+    top, low = [point(k, True) for k in range(4)], [point(k, False) for k in range(4)]
     nw, ne, se, sw = range(4)
     faces = [(top[nw], top[sw], top[ne]), (top[ne], top[sw], top[se]), (low[nw], low[ne], low[sw]), (low[ne], low[se], low[sw])]
     shown: list[Column] = [F.lit(True)] * 4
@@ -53,32 +61,13 @@ def extrude_layers(cells: DataFrame, slabs: DataFrame, grids: DataFrame, block:
         faces += [(top[start], top[end], low[start]), (top[end], low[end], low[start])]
         shown += [F.col(_SIDES[k])] * 2
     cell = (F.col("grid_row").cast("long") * F.col("width") + F.col("grid_col")) * len(faces)
-    listed = F.array(
-        *[
-            F.when(
-                show, F.struct((cell + k).alias("tid"), f[0].alias("v0"), f[1].alias("v1"), f[2].alias("v2"))
-            )
-            for k, (f, show) in enumerate(zip(faces, shown))
-        ]
-    )
-    triangles = placed.select("mesh_id", F.explode(F.filter(listed, lambda t: t.isNotNull())).alias("_t")).select(
-        "mesh_id", "_t.*"
-    )
-
-    def point(k: int, vid: Column, z: str) -> Column:
-        row, col = corner(k)
-        return F.struct(
-            vid.alias("vid"),
-            (F.col("x0") + col * F.col("dx") + row * F.col("rx")).alias("x"),
-            (F.col("y0") + col * F.col("ry") + row * F.col("dy")).alias("y"),
-            F.col(z).cast("double").alias("z"),
-        )
-
-    points = F.array(*[point(k, top[k], "z_top") for k in range(4)], *[point(k, low[k], "z_base") for k in range(4)])
+    listed = F.array(*[F.when(show, F.struct((cell + k).alias("tid"), *corner_columns(list(f)))) for k, (f, show) in enumerate(zip(faces, shown))])
+    cornered = placed.select("mesh_id", F.explode(F.filter(listed, lambda t: t.isNotNull())).alias("_t")).select("mesh_id", "_t.*")
+    points = F.array(*[F.struct(*[v.alias(c) for c, v in zip(("vid", "x", "y", "z"), p)]) for p in top + low])
     vertices = (
         placed.select("mesh_id", F.explode(points).alias("_v"))
         .select("mesh_id", "_v.*")
         .groupBy("mesh_id", "vid")
         .agg(*[F.any_value(c).alias(c) for c in "xyz"])
     )
-    return Mesh(vertices, triangles)
+    return cornered_mesh(vertices, cornered)

@@ -6,23 +6,24 @@ returned frames are written with the sinks, or queried further.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoterra.operators import components as areas
 from isoterra.operators.grid import (
+    beyond_degrees,
     clean_nonfinite,
     elevation_range,
-    project_local,
+    local_metres,
     quality_report,
     repair_outliers,
 )
 from isoterra.operators.heightmap import base_platform, heightmap_layers, heightmap_triangles, join_parts, side_walls
 from isoterra.operators.levels import contour_levels, drop_empty, layer_cells, layer_slabs, select_layers
-from isoterra.operators.mesh import Mesh, mesh_extents, stack_meshes, validate_mesh
-from isoterra.operators.polygons import complexity_gate, layer_table, polygon_metrics
+from isoterra.operators.mesh import Mesh, cornered_mesh, mesh_extents, repair_mesh, settled, stack_meshes, validate_mesh, with_corners
+from isoterra.operators.polygons import complexity_gate, dedup_ring, layer_table, polygon_metrics
 from isoterra.operators.raster import filled_cells
 from isoterra.operators.rings import area_rings
 from isoterra.operators.scale import scale_3d
@@ -32,7 +33,11 @@ from isoterra.spread import attach, cut
 
 @dataclass(frozen=True)
 class Job:
-    """What to make. Lengths in metres for terrain, millimetres for print."""
+    """What to make. Lengths in metres for terrain, millimetres for print.
+
+    `near` drops ring points closer than that to the next one, in the units of the grid; `repair` drops
+    triangles without area; with `gate` a grid with more than half of its cells invalid raises an error.
+    """
 
     layers: int = 7
     interval: float | None = None
@@ -50,6 +55,9 @@ class Job:
     slabs: int | None = None
     laser_mm: float | None = None
     stacked: bool = False
+    gate: bool = False
+    near: float | None = None
+    repair: bool = False
 
 
 @dataclass(frozen=True)
@@ -62,17 +70,22 @@ class ContourProduct:
     gate: DataFrame
 
 
-def clean_grid(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Grid without non-finite values and outliers, with its quality report."""
-    repaired = repair_outliers(clean_nonfinite(grid))
-    return repaired, quality_report(grid, repaired)
+def _checked(grid: DataFrame, job: Job) -> tuple[DataFrame, DataFrame]:
+    """The cleaned grid, written once, and its quality; with the gate a grid that is mostly invalid stops the job."""
+    repaired = cut(repair_outliers(clean_nonfinite(grid)))
+    quality = quality_report(grid, repaired)
+    if job.gate:
+        quality = cut(quality)
+        refused = quality.where("not usable").orderBy("grid_id").limit(1).collect()
+        if refused:
+            raise ValueError(f"grid {refused[0]['grid_id']}: {refused[0]['invalid_pct']:g} % of the elevations are invalid")
+    return repaired, quality
 
 
 def contour_product(grid: DataFrame, grids: DataFrame, job: Job = Job()) -> ContourProduct:
     """Clean a grid, choose levels, slice it, outline the areas of every layer."""
-    repaired, quality = clean_grid(grid)
     # Read by the range, the membership and the statistics: repaired once.
-    repaired = cut(repaired)
+    repaired, quality = _checked(grid, job)
     levels = cut(
         contour_levels(
             elevation_range(repaired),
@@ -92,6 +105,8 @@ def contour_product(grid: DataFrame, grids: DataFrame, job: Job = Job()) -> Cont
     labelled = cut(labelled)
     cells = areas.area_cells(labelled)
     points = cut(area_rings(labelled, grids, remove_holes=job.remove_holes))
+    if job.near is not None:
+        points = cut(dedup_ring(points, job.near))
     # A few rows from windows over all ring points; every sink reads them several times.
     layers = cut(drop_empty(layer_table(polygon_metrics(points), levels)))
     if job.only_layers:
@@ -120,8 +135,7 @@ def _scaled(mesh: Mesh, jobs: DataFrame | None) -> MeshProduct:
 
 def terrain_mesh(grid: DataFrame, grids: DataFrame, job: Job = Job(), jobs: DataFrame | None = None) -> MeshProduct:
     """Clean a grid and triangulate it: one surface, with base and walls on request, or equal slabs."""
-    repaired, _ = clean_grid(grid)
-    repaired = cut(repaired)
+    repaired, _ = _checked(grid, job)
     if job.slabs:
         mesh = heightmap_layers(repaired, grids, job.slabs, job.surface, vscale=job.vscale)
     else:
@@ -131,7 +145,7 @@ def terrain_mesh(grid: DataFrame, grids: DataFrame, job: Job = Job(), jobs: Data
             walls = side_walls(repaired, grids, job.base_mm, job.surface, job.vscale)
             mesh = join_parts(mesh, base, walls)
     # Vertices and triangles are two tables of the same cells, and every sink reads both.
-    return _scaled(Mesh(cut(mesh.vertices), cut(mesh.triangles)), jobs)
+    return _scaled(settled(repair_mesh(mesh) if job.repair else mesh), jobs)
 
 
 def _in_metres(mesh: Mesh, grids: DataFrame) -> Mesh:
@@ -141,10 +155,21 @@ def _in_metres(mesh: Mesh, grids: DataFrame) -> Mesh:
         (F.col("x0") + F.col("dx") * F.col("width") / 2.0).alias("_lon"),
         (F.col("y0") + F.col("dy") * F.col("height") / 2.0).alias("_lat"),
     )
-    keyed = mesh.vertices.withColumn("grid_id", F.regexp_replace("mesh_id", "#[^#]*$", ""))
-    placed = attach(keyed, middle, ["grid_id"], ["vid"])
-    vertices = project_local(placed, F.col("_lon"), F.col("_lat"), by=["grid_id"]).select("mesh_id", "vid", "x", "y", "z")
-    return Mesh(vertices, mesh.triangles)
+    own = F.regexp_replace("mesh_id", "#[^#]*$", "").alias("grid_id")
+    keyed = mesh.vertices.select("*", own)
+    # Projected grids stay as they are; decided once per grid.
+    beyond = F.max(beyond_degrees(F.col("x"), F.col("y"))).alias("_projected")
+    frame = cut(middle.join(keyed.groupBy("grid_id").agg(beyond), "grid_id"))
+
+    def moved(rows: DataFrame, corner: str, id_column: str) -> DataFrame:
+        places = [(f"x{k}", f"y{k}") for k in corner] if corner else [("x", "y")]
+        placed = attach(rows, frame, ["grid_id"], [id_column])
+        for x, y in places:
+            east, north = local_metres(F.col(x), F.col(y), F.col("_lon"), F.col("_lat"))
+            placed = placed.withColumns({x: F.when(F.col("_projected"), F.col(x)).otherwise(east), y: F.when(F.col("_projected"), F.col(y)).otherwise(north)})
+        return placed.drop("grid_id", "_lon", "_lat", "_projected")
+
+    return cornered_mesh(moved(keyed, "", "vid"), moved(with_corners(mesh).select("*", own), "012", "tid"))
 
 
 @dataclass(frozen=True)
@@ -157,16 +182,22 @@ class SolidProduct:
 
 
 def layered_solid(grid: DataFrame, grids: DataFrame, job: Job = Job(), jobs: DataFrame | None = None) -> SolidProduct:
-    """Contour layers extruded to closed bodies in metres, with their topology report."""
-    contours = contour_product(grid, grids, job)
+    """Contour layers extruded to closed bodies in metres, with their topology report.
+
+    Bodies are made of the cells inside the rings, whose corners never lie close together, so rings keep
+    all their points here. With `repair` triangles without area go after the report.
+    """
+    contours = contour_product(grid, grids, replace(job, near=None))
     spans = contours.levels.groupBy("grid_id").agg(F.min("lower").alias("_lo"), F.max("upper").alias("_hi"))
     ranged = contours.layers.join(spans, "grid_id")
     slabs = layer_slabs(ranged, F.col("_lo"), F.col("_hi"), job.laser_mm).drop("_lo", "_hi")
     cells = filled_cells(contours.ring_points, grids) if job.remove_holes else contours.cells
-    mesh = _in_metres(extrude_layers(cells, slabs, grids), grids)
-    # Written once: the report, the extents and every sink read it.
-    mesh = Mesh(cut(mesh.vertices), cut(mesh.triangles))
+    mesh = extrude_layers(cells, slabs, grids)
+    # Written once: the projection, the report, the extents and every sink read it.
+    mesh = settled(_in_metres(settled(mesh), grids))
     report = validate_mesh(mesh)
+    if job.repair:
+        mesh = repair_mesh(mesh)
     if job.stacked:
         mesh = stack_meshes(mesh)
     return SolidProduct(contours, slabs, mesh, report, _scaled(mesh, jobs).scaled_jobs)

@@ -14,6 +14,8 @@ from isoterra.spread import attach
 PRECISION = 6
 STYLE = '"stroke": "#0033ff", "stroke-width": 2, "fill": "#0099ff", "fill-opacity": 0.3'
 ORDER = ["polygon_id", "ring_id", "part"]
+# Sorting bound of the last line of a collection over all layers.
+LAST_LAYER = 2**31 - 1
 
 
 def to_geojson(
@@ -30,6 +32,29 @@ def to_geojson(
     `layers` carries layer, elevation and layer_number. Rings are closed once. Line breaks fall
     between points and rings, where JSON allows them.
     """
+    return _lines(ring_points, layers, ["grid_id", "layer"], holes, area, style, crs, precision)
+
+
+def to_collection(
+    ring_points: DataFrame,
+    layers: DataFrame,
+    holes: bool = True,
+    area: bool = False,
+    style: bool = False,
+    crs: str | None = None,
+    precision: int = PRECISION,
+) -> DataFrame:
+    """Lines as of `to_geojson`, but one FeatureCollection per grid with the features of all its layers.
+
+    In the order of layer and the columns of ORDER they make up the document: its first line has layer
+    FIRST, its last one LAST_LAYER. Which feature goes without a comma is known from one minimum per grid.
+    """
+    return _lines(ring_points, layers, ["grid_id"], holes, area, style, crs, precision)
+
+
+def _lines(
+    ring_points: DataFrame, layers: DataFrame, document: list[str], holes: bool, area: bool, style: bool, crs: str | None, precision: int
+) -> DataFrame:
     points = ring_points if holes else ring_points.where("ring_id = 0")
     written = with_text(points, ["x", "y"], precision)
     pair = F.concat(F.lit("["), F.col("x_text"), F.lit(", "), F.col("y_text"), F.lit("]"))
@@ -37,9 +62,9 @@ def to_geojson(
     coordinates = ring_parts(written, pair, ", ", opening, F.concat(F.lit(", "), pair, F.lit("]")))
 
     features = points.where("ring_id = 0 and seq = 0").select(*POLYGON)
-    first = features.groupBy("grid_id", "layer").agg(F.min("polygon_id").alias("_first"))
+    first = features.groupBy(*document).agg(F.min(F.struct("layer", "polygon_id")).alias("_first"))
     named = layers.select("grid_id", "layer", "elevation", "layer_number")
-    shown = attach(features, named.join(first, ["grid_id", "layer"]), ["grid_id", "layer"], ["polygon_id"])
+    shown = attach(features, named.join(first, document), ["grid_id", "layer"], ["polygon_id"])
     properties = [
         F.lit('"elevation": '),
         fixed(F.col("elevation"), precision),
@@ -57,7 +82,7 @@ def to_geojson(
         F.lit(FIRST).cast("long").alias("ring_id"),
         F.lit(0).cast("long").alias("part"),
         F.concat(
-            F.when(F.col("polygon_id") == F.col("_first"), "").otherwise(","),
+            F.when(F.struct("layer", "polygon_id") == F.col("_first"), "").otherwise(","),
             F.lit('{"type": "Feature","properties": {'),
             *properties,
             F.lit('},"geometry": {"type": "Polygon","coordinates": ['),
@@ -70,7 +95,8 @@ def to_geojson(
 
     def frame(at: int, text: str) -> DataFrame:
         ids = [F.lit(at).cast("long").alias(c) for c in ORDER]
-        return first.select("grid_id", "layer", *ids, F.lit(text).alias("value"))
+        layer = F.col("layer") if "layer" in document else F.lit(min(at, LAST_LAYER)).cast("int").alias("layer")
+        return first.select("grid_id", layer, *ids, F.lit(text).alias("value"))
 
     head = frame(FIRST, f'{{"type": "FeatureCollection",{reference}"features": [')
     parts = [start, coordinates, end, head, frame(LAST, "]}")]

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from isoterra.functions.numbers import with_text
 from isoterra.operators.mesh import (
+    COORDINATES,
     CORNERS,
     Mesh,
+    corner_geometry,
     mesh_extents,
-    print_transform,
-    triangle_geometry,
+    print_frame,
+    printed,
     valid_triangles,
-    with_corners,
 )
 from isoterra.operators.style import band_materials, triangle_band, vertex_ramp
 from isoterra.sinks.text import write_lines
-from isoterra.spread import BLOCK, attach, dense_ids, lookup
+from isoterra.spread import BLOCK, attach, cut, dense_ids, lookup
 
 # Decimals of coordinates and colours, name of a solid, normal written for vertices.
 DIGITS, COLOR_DIGITS = 6, 3
@@ -45,11 +46,12 @@ def stl_lines(mesh: Mesh, factor: float | None = None, bed_mm: float | None = No
 
     Normals are those of the mesh before scaling. Every facet is one row of seven text lines.
     """
-    moved = with_corners(print_transform(mesh, factor, bed_mm))
-    normals = triangle_geometry(mesh).select("mesh_id", "tid", "nx", "ny", "nz")
-    facets = moved.join(normals, ["mesh_id", "tid"])
+    # One row per mesh, written once: it moves the facets and names the documents.
+    frame = cut(print_frame(mesh, factor, bed_mm))
+    facets = attach(corner_geometry(mesh), frame, ["mesh_id"], ["tid"])
+    facets = facets.select("mesh_id", "tid", "nx", "ny", "nz", *[printed(c) for c in COORDINATES])
     places = [[f"{c}{k}" for c in "xyz"] for k in range(3)]
-    facets = with_text(facets, [*sum(places, []), "nx", "ny", "nz"], DIGITS)
+    facets = with_text(facets, [*COORDINATES, "nx", "ny", "nz"], DIGITS)
     corners = [F.concat(F.lit("      vertex "), _texts(*p)) for p in places]
     facet = F.concat_ws(
         "\n",
@@ -60,7 +62,7 @@ def stl_lines(mesh: Mesh, factor: float | None = None, bed_mm: float | None = No
         F.lit("  endfacet"),
     )
     whole = facets.where(" and ".join(f"x{k} is not null" for k in range(3)))
-    meshes = mesh.vertices.select("mesh_id").distinct()
+    meshes = frame.select("mesh_id")
     return _union(
         _lines(meshes, 0, F.lit(0), F.lit(f"solid {solid}")),
         _lines(whole, 1, F.col("tid"), facet),
@@ -143,7 +145,7 @@ def mtl_lines(materials: DataFrame) -> DataFrame:
 
 def ply_lines(mesh: Mesh, colors: bool = True, normals: bool = True, tol: float = 1e-6) -> DataFrame:
     """Lines of one ASCII PLY document per mesh, vertices numbered 0.. per document."""
-    colored = Mesh(vertex_ramp(mesh), mesh.triangles)
+    colored = Mesh(vertex_ramp(mesh), mesh.triangles, mesh.cornered)
     vertices, faces = _dense_mesh(colored, tol)
     starts = vertices.groupBy("mesh_id").agg(F.min("n").alias("_start"), F.count(F.lit(1)).alias("_vertices"))
     counts = starts.join(faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_faces")), "mesh_id", "left")

@@ -20,6 +20,8 @@ ROWS_AT_ONCE = 64
 
 _CHUNKS = "grid_id string, grid_row int, first_col int, elevs array<float>"
 SPAN = 256
+# West, south, east, north in degrees.
+Box = tuple[float, float, float, float]
 
 
 def _tile(content: bytes, path: str) -> np.ndarray:
@@ -32,18 +34,37 @@ def _tile(content: bytes, path: str) -> np.ndarray:
     return values
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            values = _tile(content, path)
-            name = re.search(TILE_NAME, path).group(0).split(".")[0]
-            for top in range(0, len(values), ROWS_AT_ONCE):
-                spans = [
-                    (name, r, c, values[r, c : c + SPAN])
-                    for r in range(top, min(top + ROWS_AT_ONCE, len(values)))
-                    for c in range(0, values.shape[1], SPAN)
-                ]
-                yield pd.DataFrame(spans, columns=["grid_id", "grid_row", "first_col", "elevs"])
+def _window(name: str, side: int, box: Box | None) -> tuple[int, int, int, int]:
+    """First and end row, first and end column of the cells of a tile that a box touches, one more on each side."""
+    if box is None:
+        return 0, side, 0, side
+    south = int(name[1:3]) * (-1 if name[0] == "S" else 1)
+    west = int(name[4:7]) * (-1 if name[3] == "W" else 1)
+    step = 1.0 / (side - 1) if side > 1 else 1.0
+    # A box over the antimeridian goes on beyond 180 degrees.
+    west += 360 if west + 1 < box[0] else 0
+    rows = (south + 1 - box[3]) / step, (south + 1 - box[1]) / step
+    columns = (box[0] - west) / step, (box[2] - west) / step
+    ends = [(max(0, math.floor(a) - 1), min(side, math.ceil(b) + 2)) for a, b in (rows, columns)]
+    return *ends[0], *ends[1]
+
+
+def _reader(box: Box | None):
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                values = _tile(content, path)
+                name = re.search(TILE_NAME, path).group(0).split(".")[0]
+                first, end, left, right = _window(name, len(values), box)
+                for top in range(first, end, ROWS_AT_ONCE):
+                    spans = [
+                        (name, r, c, values[r, c : min(c + SPAN, right)])
+                        for r in range(top, min(top + ROWS_AT_ONCE, end))
+                        for c in range(left, right, SPAN)
+                    ]
+                    yield pd.DataFrame(spans, columns=["grid_id", "grid_row", "first_col", "elevs"])
+
+    return read
 
 
 def _files(spark: SparkSession, path: str, tiles: Sequence[str] | None = None) -> DataFrame:
@@ -53,13 +74,14 @@ def _files(spark: SparkSession, path: str, tiles: Sequence[str] | None = None) -
     return files.where(F.regexp_like("path", F.lit(TILE_NAME)))
 
 
-def decode_tiles(files: DataFrame) -> DataFrame:
+def decode_tiles(files: DataFrame, box: Box | None = None) -> DataFrame:
     """Grid table of tile files given as rows (path, content); the grid is named after the tile.
 
     A tile is one file of bounded size and one unit of work; it leaves the worker as spans of 256
-    cells, which are exploded on the JVM side.
+    cells, which are exploded on the JVM side. With a box only the cells that it touches, and a margin
+    of one or two around them, leave the worker.
     """
-    spans = files.select("path", "content").mapInPandas(_read, _CHUNKS)
+    spans = files.select("path", "content").mapInPandas(_reader(box), _CHUNKS)
     return spans.select("grid_id", "grid_row", "first_col", F.posexplode("elevs").alias("_i", "_e")).select(
         "grid_id",
         "grid_row",
@@ -68,9 +90,9 @@ def decode_tiles(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_hgt(spark: SparkSession, path: str, tiles: Sequence[str] | None = None) -> DataFrame:
-    """Grid table of the tiles below a folder, all or only those named."""
-    return decode_tiles(_files(spark, path, tiles))
+def scan_hgt(spark: SparkSession, path: str, tiles: Sequence[str] | None = None, box: Box | None = None) -> DataFrame:
+    """Grid table of the tiles below a folder, all or only those named, whole or only around a box."""
+    return decode_tiles(_files(spark, path, tiles), box)
 
 
 def _raster_bytes() -> Column:

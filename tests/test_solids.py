@@ -113,3 +113,27 @@ def test_stack_and_repair(spark):
     report = mesh.validate_mesh(stacked).collect()
     assert len(report) == 1 and report[0].valid
     assert report[0].triangles == solids.triangles.count() == mesh.repair_mesh(solids).triangles.count()
+
+
+@pytest.mark.parametrize("kind", ["surface", "flat", "layers", "base", "walls", "solid", "stacked", "printed", "repaired"])
+def test_corners_from_birth_are_those_of_the_vertices(spark, kind):
+    cells = [("g", r, c, None if (r, c) == (1, 2) else float((r * 7 + c * 5) % 11)) for r in range(5) for c in range(6)]
+    grid = spark.createDataFrame(cells, "grid_id string, grid_row int, grid_col int, elev float")
+    grids = spark.createDataFrame([("g", 10.0, 0.5, 0.0, 40.0, 0.0, -0.5, 6, 5)], "grid_id string, x0 double, dx double, rx double, y0 double, ry double, dy double, width int, height int")
+    layered = grid.where("elev >= 4").select("grid_id", F.lit(0).alias("layer"), "grid_row", "grid_col")
+    slabs = spark.createDataFrame([("g", 0, 1.0, 2.0)], "grid_id string, layer int, z_base double, z_top double")
+    surface = heightmap.heightmap_triangles(grid, grids)
+    made = {
+        "surface": lambda: surface,
+        "flat": lambda: heightmap.heightmap_triangles(grid, grids, "flat"),
+        "layers": lambda: heightmap.heightmap_layers(grid, grids, 3),
+        "base": lambda: heightmap.base_platform(grids, -1.0),
+        "walls": lambda: heightmap.join_parts(surface, heightmap.base_platform(grids, -1.0), heightmap.side_walls(grid, grids, -1.0)),
+        "solid": lambda: extrude_layers(layered, slabs, grids),
+        "stacked": lambda: mesh.stack_meshes(heightmap.heightmap_layers(grid, grids, 3)),
+        "printed": lambda: mesh.print_transform(surface, bed_mm=100.0),
+        "repaired": lambda: mesh.repair_mesh(surface),
+    }[kind]()
+    looked_up = mesh.with_corners(mesh.Mesh(made.vertices, made.triangles)).select(*made.cornered.columns)
+    assert made.cornered.count() > 0
+    assert sorted(map(tuple, made.cornered.collect())) == sorted(map(tuple, looked_up.collect()))
