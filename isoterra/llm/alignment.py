@@ -7,7 +7,6 @@ response, `position` and `name`.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -21,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from isoterra.llm.batches import per_worker, slices
+from isoterra.llm.tokens import byte_level, spelt
 from isoterra.spread import cut, discard
 
 PLACE = ("response_id", "position")
@@ -30,7 +30,6 @@ CONTAINER_BYTES, CONTAINER_NAMES = 8 << 20, 1 << 14
 PAIR = 1 << 31
 # One space between two characters that are no white space: no token of either vocabulary reaches across it.
 _PLACE = re.compile(r"(?<=\S)(?= \S)")
-_LONG = re.compile(r"\S{300}|\s{300}")
 # Units in one call of a vocabulary.
 CALL_UNITS = 500
 
@@ -49,7 +48,7 @@ class Vocabulary:
     def __init__(self, entries: Sequence[bytes]):
         self.bytes = list(entries)
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-        self.spelt = pa.array(self.bytes, pa.large_binary())
+        self.column = pa.array(self.bytes, pa.large_binary())
 
     def encode(self, text: str) -> Sequence[int]:
         """Ids of a space and the text."""
@@ -64,13 +63,13 @@ class Vocabulary:
         found = [self.encode(" ".join(units)) for units in calls]
         ids = np.array([i for f in found for i in f], np.int64)
         whole = "".join([f" {u}" for units in calls for u in units]).encode()
-        if data_of(self.spelt.take(pa.array(ids))) == whole:
+        if data_of(self.column.take(pa.array(ids))) == whole:
             return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths), "right"), prepend=0), np.ones(len(lengths), bool)
         ids, counts, good, at = [], [], [], 0
         for units, one in zip(calls, found):
             own, one = lengths[at : at + len(units)], np.array(one, np.int64)
             at += len(units)
-            if data_of(self.spelt.take(pa.array(one))) == b" " + " ".join(units).encode():
+            if data_of(self.column.take(pa.array(one))) == b" " + " ".join(units).encode():
                 ids.append(one)
                 counts.append(np.diff(np.searchsorted(np.cumsum(self.sizes[one]), np.cumsum(own), "right"), prepend=0))
                 good.append(np.ones(len(units), bool))
@@ -93,35 +92,15 @@ class ByteLevel(Vocabulary):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # Visible Latin-1 characters stand for themselves, the other bytes follow U+0100 in order.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        written = {chr(b): b for b in shown}
-        written |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in shown)}
         entries = self.tokenizer.get_vocab(with_added_tokens=True)
-        spelt = [b""] * (max(entries.values()) + 1)
+        found = [b""] * (max(entries.values()) + 1)
         for entry, n in entries.items():
-            spelt[n] = bytes(written[c] for c in entry) if all(c in written for c in entry) else entry.encode()
-        super().__init__(spelt)
-        self.quick = self._quick(entries)
-
-    def _quick(self, entries: dict[str, int]):
-        """The same vocabulary in a faster library, if its merges come in the order of their ids."""
-        import public_tokenizers
-        import tiktoken
-
-        model = json.loads(self.tokenizer.to_str())
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        ids = [entries[a + b] for a, b in merges]
-        usual = model["normalizer"] is None and model["pre_tokenizer"]["type"] == "ByteLevel" and model["pre_tokenizer"]["use_regex"]
-        if not usual or ids != sorted(ids):
-            return None
-        special = {t["id"] for t in model["added_tokens"]}
-        ranks = {self.bytes[n]: n for n in entries.values() if n not in special}
-        return tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            found[n] = spelt(entry)
+        super().__init__(found)
+        self.quick = byte_level(self.tokenizer)
 
     def encode(self, text: str) -> Sequence[int]:
-        # The faster library takes the square of a piece's length, so long pieces go to the other one.
-        if self.quick is not None and not _LONG.search(text):
+        if self.quick is not None:
             return self.quick.encode_ordinary(" " + text)
         return self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
 

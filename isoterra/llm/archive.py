@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoterra.llm.batches import named
-from isoterra.llm.frames import new_folder, open_file, write_files
+from isoterra.llm.frames import new_folder, one_task_each, open_file, write_files
 from isoterra.spread import cut
 
 # Fixed values of the archive format.
@@ -134,7 +134,7 @@ def read_archive(archive: Archive, response_id: str = "response_id") -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, names=[response_id, "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     schema = f"`{response_id}` long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archive.files.repartition("file").mapInArrow(read, schema)
+    return one_task_each(archive.files).mapInArrow(read, schema)
 
 
 def fetch(archive: Archive, ids: list[int]) -> dict[int, dict]:

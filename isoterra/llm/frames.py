@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from isoterra.spread import shared_folder
 
@@ -27,6 +27,8 @@ INDEX_TYPE = np.dtype([("key", "<i8"), ("frame", "<u4"), ("offset", "<u4"), ("si
 # Bytes of records after which a frame ends, and compressed bytes after which a file ends.
 FRAME_BYTES, FILE_BYTES = 1 << 20, 128 << 20
 LEVEL = 3
+# Most tasks that read files at the same time; with more files a task reads several.
+READING_TASKS = 20_000
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -34,6 +36,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/isoterra-{kind}-{uuid.uuid4().hex}"
 
 
+def one_task_each(files: DataFrame) -> DataFrame:
+    """A table of files dealt to as many tasks as it has files, at most READING_TASKS; the planner does not join them again."""
+    return files.repartition(max(1, min(files.count(), READING_TASKS)), "file")
+
+
 class FrameWriter:
     """Writes records of one file; `finish` adds index and seek table."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoterra.llm.batches import named, slices
-from isoterra.llm.frames import new_folder, open_file, write_files
+from isoterra.llm.frames import new_folder, one_task_each, open_file, write_files
 from isoterra.llm.tokens import encoder
 from isoterra.spread import cut
 
@@ -98,7 +98,7 @@ def read_token_files(files: TokenFiles, key: str = "place_id") -> DataFrame:
                 )
 
     schema = f"folder_part long, seq long, `{key}` long, start_in_file long, n_tokens long, ids_crc32 long"
-    listed = files.files.repartition("file")
+    listed = one_task_each(files.files)
     rows = cut(listed.mapInArrow(read, schema))
     lengths = rows.groupBy("folder_part", "seq").agg(F.sum("n_tokens").alias("_ids"))
     before = Window.orderBy("folder_part", "seq").rowsBetween(Window.unboundedPreceding, -1)

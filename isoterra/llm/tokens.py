@@ -8,6 +8,7 @@ the text, and a chunk that was met before costs a dictionary lookup.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -29,6 +30,64 @@ _LATIN_END = "\u0250"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _WRITTEN = {b: b for b in _SHOWN} | {b: 256 + n for n, b in enumerate(_HIDDEN)}
+_BYTE = {chr(c): b for b, c in _WRITTEN.items()}
+
+
+# Ends a word in a call of the faster library; words of letters do not hold it.
+_END, _WORD_END = "\x01", "</w>"
+
+
+def spelt(entry: str) -> bytes:
+    """The bytes of a vocabulary entry that writes bytes as characters."""
+    return bytes(_BYTE.get(c, 0) for c in entry) if all(c in _BYTE for c in entry) else entry.encode()
+
+
+def byte_level(tokenizer):
+    """The same vocabulary in a faster library, or None where its splits or the order of its merges do not allow that.
+
+    The faster library merges by ascending id, so the merges have to be listed in that order.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    model, entries = json.loads(tokenizer.to_str()), tokenizer.get_vocab(with_added_tokens=True)
+    pieces, special = model["pre_tokenizer"] or {}, {t["id"] for t in model["added_tokens"]}
+    usual = model["normalizer"] is None and pieces.get("type") == "ByteLevel" and pieces.get("use_regex") and not pieces.get("add_prefix_space")
+    if not usual or not _merges_ascend(model, entries):
+        return None
+    ranks = {spelt(e): n for e, n in entries.items() if n not in special}
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _merges_ascend(model: dict, entries: dict[str, int]) -> bool:
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    ids = [entries.get(a + b, -1) for a, b in merges]
+    return bool(ids) and ids == sorted(ids) and ids[0] >= 0
+
+
+def word_ends(tokenizer):
+    """The merges of a vocabulary with word ends in a faster library, for words each followed by _END; None as above.
+
+    An entry that ends a word is its bytes and _END. The last byte of a word and _END are joined before
+    anything else, because the single bytes with a word end come before all merges.
+    """
+    import tiktoken
+
+    model, entries = json.loads(tokenizer.to_str()), tokenizer.get_vocab(with_added_tokens=True)
+    if model["model"].get("end_of_word_suffix") != _WORD_END or not _merges_ascend(model, entries):
+        return None
+    special = {t["id"] for t in model["added_tokens"]}
+    ranks, ends = {}, np.zeros(max(entries.values()) + 1, bool)
+    for entry, n in entries.items():
+        if n in special:
+            continue
+        ends[n] = entry.endswith(_WORD_END)
+        ranks[spelt(entry.removesuffix(_WORD_END)) + (_END.encode() if ends[n] else b"")] = n
+    first = min(n for e, n in entries.items() if len(spelt(e.removesuffix(_WORD_END))) > 1 and n not in special)
+    singles = [n for e, n in entries.items() if e.endswith(_WORD_END) and len(spelt(e.removesuffix(_WORD_END))) == 1]
+    if max(singles) > first:
+        return None
+    return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}), ends
 
 
 class Encoder:
@@ -44,6 +103,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        # A byte-level vocabulary takes whole texts at once, one with word ends many words.
+        self.quick, self.marked = byte_level(self.tokenizer), word_ends(self.tokenizer)
         # Chunk without the space before it -> ids; None for a chunk with white space at an end.
         self.kept, self.older, self.newer = kept, {}, {}
         # How the vocabulary writes a word after a space: what stands for the space, and whether case is kept.
@@ -64,6 +125,12 @@ class Encoder:
         known = {}
         for start in range(0, len(words), _CALL):
             some = cased[start : start + _CALL]
+            if self.marked is not None:
+                library, is_end = self.marked
+                ids = np.array(library.encode_ordinary(_END.join([*some, ""])), "<u4")
+                ends, data = (np.flatnonzero(is_end[ids]) * 4 + 4).tolist(), ids.tobytes()
+                known.update(zip(words[start : start + _CALL], [data[b:e] for b, e in zip([0, *ends], ends)]))
+                continue
             written = [w if w.isascii() else w.encode().decode("latin-1").translate(_WRITTEN) for w in some]
             line = (_BETWEEN + self.prefix).join(["", *written])[1:] + _BETWEEN
             ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
@@ -98,6 +165,8 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of every whole text; null and empty texts have none."""
+        if self.quick is not None:
+            return [np.array(self.quick.encode_ordinary(text), "<u4").tobytes() if text else b"" for text in texts]
         if len(self.newer) > self.kept:
             self.older, self.newer = self.newer, {}
         split = [text.split(" ") if text else [] for text in texts]
