@@ -140,7 +140,7 @@ class Encoder:
         return known
 
     def _learn(self, missing: set[str]) -> None:
-        simple, marks = [], {"": b""}
+        simple, odd, marks = [], [], {"": b""}
         for chunk in missing:
             if chunk in self.older:
                 self.newer[chunk] = self.older[chunk]
@@ -151,7 +151,11 @@ class Encoder:
                 if word.isalpha() and max(word) < _LATIN_END and len(word.lower()) == len(word):
                     simple.append((chunk, word))
                 else:
-                    self.newer[chunk] = self._library(" " + chunk)
+                    odd.append(chunk)
+        for start in range(0, len(odd), _CALL):
+            some = odd[start : start + _CALL]
+            found = self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)
+            self.newer.update(zip(some, [np.array(f.ids, "<u4").tobytes() for f in found]))
         # Letters and the marks after them are pieces of their own.
         words = self._words(list({w for _, w in simple}))
         for chunk, word in simple:
