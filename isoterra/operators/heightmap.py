@@ -124,16 +124,19 @@ def heightmap_triangles(
     max_elev: float | None = None,
     flip: bool = False,
     vscale: float = 1.0,
+    groups: DataFrame | None = None,
 ) -> Mesh:
     """Two triangles per 2 x 2 group without a void, one mesh per grid.
 
+    `groups` are the 2 x 2 groups of the grid where they are known already, as from packed chunks.
+
     Terrain mode skips groups wholly outside the bounds and clamps the rest to them. Flat mode skips
     groups below min_elev and puts all four corners at max_elev, or at the group's highest cell.
     """
     def bound(v: float | None) -> Column:
         return F.lit(v).cast("double")
 
-    cells = quads(grid).select(
+    cells = (quads(grid) if groups is None else groups).select(
         "*", F.col("grid_id").alias("mesh_id"), bound(min_elev).alias("_lo"), bound(max_elev).alias("_hi")
     )
     return _surface(cells, grids, mode, flip, vscale)

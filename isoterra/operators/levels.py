@@ -161,7 +161,11 @@ def layer_counts(grid: DataFrame, levels: DataFrame) -> DataFrame:
     """
     # Read twice and usually derived from the grid itself: a few rows written spare a scan of it.
     levels = cut(levels)
-    counts = band_histogram(grid, levels)
+    return counted_layers(levels, band_histogram(grid, levels))
+
+
+def counted_layers(levels: DataFrame, counts: DataFrame) -> DataFrame:
+    """Cells and share at or above each level from the cells per band (grid_id, band, cells)."""
     rows = levels.select("grid_id", (F.col("level_index") + 1).alias("band"), "lower").join(
         counts, ["grid_id", "band"], "full"
     )

@@ -90,6 +90,35 @@ def decode_tiles(files: DataFrame, box: Box | None = None) -> DataFrame:
     )
 
 
+_PACKED = "grid_id string, chunk_row int, chunk_col int, elevs array<float>"
+
+
+def decode_chunks(files: DataFrame, side: int) -> DataFrame:
+    """Packed chunks (grid_id, chunk_row, chunk_col, elevs) of tile files (path, content): no cell leaves the decoder alone.
+
+    Chunks are squares of `side` cells, row after row, filled up with NaN at the far edges.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                values, name = _tile(content, path), re.search(TILE_NAME, path).group(0).split(".")[0]
+                count = -(-len(values) // side)
+                for r in range(count):
+                    band = np.full((side, count * side), np.nan, np.float32)
+                    own = values[r * side : (r + 1) * side]
+                    band[: len(own), : own.shape[1]] = own
+                    chunks = [band[:, c * side : (c + 1) * side].ravel() for c in range(count)]
+                    yield pd.DataFrame({"grid_id": name, "chunk_row": r, "chunk_col": range(count), "elevs": chunks})
+
+    return files.select("path", "content").mapInPandas(read, _PACKED)
+
+
+def scan_chunks(spark: SparkSession, path: str, side: int, tiles: Sequence[str] | None = None) -> DataFrame:
+    """Packed chunks of the tiles below a folder, all or only those named."""
+    return decode_chunks(_files(spark, path, tiles), side)
+
+
 def scan_hgt(spark: SparkSession, path: str, tiles: Sequence[str] | None = None, box: Box | None = None) -> DataFrame:
     """Grid table of the tiles below a folder, all or only those named, whole or only around a box."""
     return decode_tiles(_files(spark, path, tiles), box)
