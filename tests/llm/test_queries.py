@@ -123,8 +123,24 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {p["doc_id"] for p in pieces} == {None, 3}
+    assert sorted([p["doc_id"] for p in pieces], key=str) == [3, None]
     empty = tmp_path / "empty"
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    item = "which of the four lakes lies between the two highest peaks of the range"
+    clean, other = "rain fell on every roof of the quiet town that night", "a short note about boats and their painted sails"
+    rows = [(7, f"see: {item}, he asked", "en", "s", 1), (7, clean, "en", "s", 2), (None, other, "en", "s", 3), (None, item, "en", "s", 4), (8, clean, None, "t", 5), (8, clean, None, "t", 5)]
+    docs = spark.createDataFrame(rows, columns)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, given):
+        return sorted(map(tuple, stage(spark, given, str(tmp_path)).collect()), key=str)
+
+    assert left(corpus_pipeline.decontamination, docs) == sorted([r for r in rows if item not in r[1]], key=str)
+    assert left(corpus_pipeline.near_duplicates, docs) == sorted(rows[:4], key=str)
+    assert left(corpus_pipeline.near_duplicates, docs.where("doc_id = 8")) == [rows[4]]
