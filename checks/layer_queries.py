@@ -212,7 +212,22 @@ def d1(spark, sf):
     return polygons.dedup_ring(loops(spark, sf), 60.0).select("layer", "polygon_id", "ring_id", "seq", "x", "y")
 
 
-@query("d2_decimate_ring")
+@query(
+    "d2_decimate_ring",
+    oracle("loops")
+    + """, walk as (
+  select grid_id, layer, polygon_id, ring_id, seq, x, y, x ax, y ay, true kept from loops where seq = 0
+  union all
+  select l.grid_id, l.layer, l.polygon_id, l.ring_id, l.seq, l.x, l.y,
+    case when (l.x - ax) * (l.x - ax) + (l.y - ay) * (l.y - ay) < 1600.0 then ax else l.x end,
+    case when (l.x - ax) * (l.x - ax) + (l.y - ay) * (l.y - ay) < 1600.0 then ay else l.y end,
+    not (l.x - ax) * (l.x - ax) + (l.y - ay) * (l.y - ay) < 1600.0
+  from walk w join loops l on l.grid_id = w.grid_id and l.layer = w.layer and l.polygon_id = w.polygon_id and l.ring_id = w.ring_id and l.seq = w.seq + 1),
+ordered as (
+  select *, row_number() over (partition by grid_id, layer, polygon_id, ring_id order by seq) - 1 n,
+    count(*) over (partition by grid_id, layer, polygon_id, ring_id) size from walk where kept)
+select grid_id, layer, polygon_id, ring_id, n as seq, x, y from ordered where size >= 3""",
+)
 def d2(spark, sf):
     return polygons.decimate_ring(loops(spark, sf), 40.0, block=512)
 
@@ -286,8 +301,26 @@ select cast(px as int) as px, cast(py as int) as py, """
     + ", 255 as a from pos",
 )
 def d6(spark, sf):
-    pixels = raster.rasterize(members(spark, sf), heights(spark, sf), grids(spark, sf), frame(spark, sf))
-    return pixels.drop("grid_id")
+    banded = lv.banded_cells(clean(spark, sf), levels(spark, sf))
+    return raster.rasterize(banded, heights(spark, sf), grids(spark, sf), frame(spark, sf)).drop("grid_id")
+
+
+@query(
+    "d6_layer_images",
+    oracle("members", "grids") + FRAME_SQL
+    + """, px as (select px, py, cast(floor((max_y + 8 * ph - (py + 0.5) * ph - 63.0) / -0.01) as int) r, cast(floor((min_x - 8 * pw + (px + 0.5) * pw - -151.0) / 0.01) as int) c
+  from frame, range(0, 160) a(px), range(0, 100000) b(py) where py < h),
+hue as (select level_index layer, (lower_ - (select min(lower_) from levels)) / ((select max(lower_) from levels) - (select min(lower_) from levels)) at_ from levels)
+select l.layer, cast(px as int) as px, cast(py as int) as py, """
+    + ", ".join(
+        f"case when m.layer is null then 255 else cast(trunc({color_sql('at_', k)} * 255::float) as int) end as {c}"
+        for k, c in ((1, "r"), (2, "g"), (3, "b"))
+    )
+    + ", 255 as a from px cross join hue l left join members m on m.layer = l.layer and m.grid_row = px.r and m.grid_col = px.c",
+)
+def d6_images(spark, sf):
+    banded = lv.banded_cells(clean(spark, sf), levels(spark, sf))
+    return raster.layer_images(banded, heights(spark, sf), grids(spark, sf), frame(spark, sf)).drop("grid_id")
 
 
 def ring_points(spark, sf, **options):

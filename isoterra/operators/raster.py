@@ -114,6 +114,58 @@ def filled_cells(ring_points: DataFrame, grids: DataFrame) -> DataFrame:
     )
 
 
+def _cell_of() -> tuple[Column, Column]:
+    """Row and column of the cell that holds the centre of pixel (px, py), from frame and grid geometry in the row."""
+    ex = F.col("origin_x") + (F.col("px") + 0.5) * F.col("pixel_w") - F.col("x0")
+    ey = F.col("origin_y") - (F.col("py") + 0.5) * F.col("pixel_h") - F.col("y0")
+    size = F.col("dx") * F.col("dy") - F.col("rx") * F.col("ry")
+    row = F.floor((ey * F.col("dx") - ex * F.col("ry")) / size)
+    return row, F.floor((ex * F.col("dy") - ey * F.col("rx")) / size)
+
+
+def cell_pixels(cells: DataFrame, grids: DataFrame, frame: DataFrame) -> DataFrame:
+    """The cells with the pixels (px, py) whose centres they hold; a pixel has at most one cell of a grid.
+
+    Every cell computes the rectangle of pixels around its own corners; most cells of a fine grid hold
+    no pixel centre and end there. Nothing is shuffled, and no pixel asks for its cell.
+    """
+    of_frame = ["width_px", "height_px", "origin_x", "origin_y", "pixel_w", "pixel_h"]
+    geometry = grids.select("grid_id", *GEOMETRY).join(frame.select("grid_id", *of_frame), "grid_id")
+    placed = attach(cells, geometry, ["grid_id"], ["grid_row", "grid_col"])
+    corners = [(F.col("grid_row") + r, F.col("grid_col") + c) for r in (0, 1) for c in (0, 1)]
+    across = [(F.col("x0") + c * F.col("dx") + r * F.col("rx") - F.col("origin_x")) / F.col("pixel_w") - 0.5 for r, c in corners]
+    down = [(F.col("origin_y") - F.col("y0") - c * F.col("ry") - r * F.col("dy")) / F.col("pixel_h") - 0.5 for r, c in corners]
+
+    def span(ends: list[Column], size: str) -> Column:
+        # A little wider than the cell; the exact test follows.
+        first = F.greatest(F.ceil(F.least(*ends) - 1e-6), F.lit(0)).cast("int")
+        last = F.least(F.floor(F.greatest(*ends) + 1e-6), F.col(size) - 1).cast("int")
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    near = placed.withColumn("px", F.explode(span(across, "width_px"))).withColumn("py", F.explode(span(down, "height_px")))
+    row, col = _cell_of()
+    return near.where((row == F.col("grid_row")) & (col == F.col("grid_col"))).select(*cells.columns, "px", "py")
+
+
+def _pixels(frame: DataFrame, *carried: str) -> DataFrame:
+    """All pixels of the frames; rows of pixels are spread over the cluster before columns are made."""
+    rows = frame.withColumn("py", F.explode(F.sequence(F.lit(0), F.col("height_px") - 1)))
+    spread = rows.repartition("grid_id", *carried, "py").withColumn("px", F.explode(F.sequence(F.lit(0), F.col("width_px") - 1)))
+    return spread.select("grid_id", *carried, "px", "py")
+
+
+def layer_colors(layers: DataFrame, scheme: str | list[tuple] = "terrain") -> DataFrame:
+    """(grid_id, layer, _c): the colour of every layer in the range of all given layers of its grid."""
+    whole = layers.groupBy("grid_id").agg(F.min("elevation").alias("_lo"), F.max("elevation").alias("_hi"))
+    ranged = layers.select("grid_id", "layer", "elevation").join(whole, "grid_id")
+    return ranged.select("grid_id", "layer", color_rgb(F.col("elevation"), F.col("_lo"), F.col("_hi"), scheme).alias("_c"))
+
+
+def _painted(background: tuple[int, int, int, int]) -> list[Column]:
+    channels = [F.coalesce(F.col(f"_c.{c}"), F.lit(v)).alias(c) for c, v in zip("rgb", background)]
+    return [*channels, F.when(F.col("_c").isNotNull(), 255).otherwise(F.lit(background[3])).alias("a")]
+
+
 def rasterize(
     cells: DataFrame,
     layers: DataFrame,
@@ -125,37 +177,56 @@ def rasterize(
 ) -> DataFrame:
     """Pixels (grid_id, px, py, r, g, b, a): the highest layer under each pixel centre, else background.
 
-    `cells` are layer members (see `filled_cells` for layers without holes). Rows of pixels are spread
-    over the cluster before columns are made; the colour range is that of all given layers. A
-    monochrome image is background only.
+    `cells` are layer members (see `filled_cells` for layers without holes) or, one row per cell, those of
+    `banded_cells`, whose highest layer is their band less one. Cells are turned into pixels where they are;
+    only those are shuffled. The colour range is that of all given layers. A monochrome image is background only.
     """
-    rows = frame.withColumn("py", F.explode(F.sequence(F.lit(0), F.col("height_px") - 1)))
-    pixels = rows.repartition("grid_id", "py").withColumn("px", F.explode(F.sequence(F.lit(0), F.col("width_px") - 1)))
-    paper = [F.lit(v).alias(c) for c, v in zip("rgba", background)]
+    pixels = _pixels(frame)
     if mode == "monochrome":
-        return pixels.select("grid_id", "px", "py", *paper)
-    placed = attach(pixels, grids.select("grid_id", *GEOMETRY), ["grid_id"], ["py", "px"])
-    ex = F.col("origin_x") + (F.col("px") + 0.5) * F.col("pixel_w") - F.col("x0")
-    ey = F.col("origin_y") - (F.col("py") + 0.5) * F.col("pixel_h") - F.col("y0")
-    size = F.col("dx") * F.col("dy") - F.col("rx") * F.col("ry")
-    based = placed.select(
-        "grid_id",
-        "px",
-        "py",
-        F.floor((ey * F.col("dx") - ex * F.col("ry")) / size).cast("int").alias("grid_row"),
-        F.floor((ex * F.col("dy") - ey * F.col("rx")) / size).cast("int").alias("grid_col"),
-    )
-    whole = layers.groupBy("grid_id").agg(F.min("elevation").alias("_lo"), F.max("elevation").alias("_hi"))
-    ranged = layers.select("grid_id", "layer", "elevation").join(whole, "grid_id")
-    colored = ranged.select(
-        "grid_id", "layer", color_rgb(F.col("elevation"), F.col("_lo"), F.col("_hi"), scheme).alias("_c")
-    )
-    top = cells.groupBy("grid_id", "grid_row", "grid_col").agg(F.max("layer").alias("layer"))
-    found = lookup(based, top, ["grid_id", "grid_row", "grid_col"], "left")
-    painted = attach(found, colored, ["grid_id", "layer"], ["px", "py"], "left")
-    channels = [F.coalesce(F.col(f"_c.{c}"), F.lit(v)).alias(c) for c, v in zip("rgb", background)]
-    alpha = F.when(F.col("_c").isNotNull(), 255).otherwise(F.lit(background[3])).alias("a")
-    return painted.select("grid_id", "px", "py", *channels, alpha)
+        return pixels.select("grid_id", "px", "py", *[F.lit(v).alias(c) for c, v in zip("rgba", background)])
+    if "band" in cells.columns:
+        cells = cells.where("band > 0").withColumn("layer", F.col("band") - 1)
+    held = cell_pixels(cells.select("grid_id", "grid_row", "grid_col", "layer"), grids, frame)
+    top = held.groupBy("grid_id", "px", "py").agg(F.max("layer").alias("layer"))
+    found = lookup(pixels, top, ["grid_id", "px", "py"], "left")
+    painted = attach(found, layer_colors(layers, scheme), ["grid_id", "layer"], ["px", "py"], "left")
+    return painted.select("grid_id", "px", "py", *_painted(background))
+
+
+def layer_images(
+    cells: DataFrame,
+    layers: DataFrame,
+    grids: DataFrame,
+    frame: DataFrame,
+    scheme: str | list[tuple] = "terrain",
+    background: tuple[int, int, int, int] = (255, 255, 255, 255),
+    outlines: DataFrame | None = None,
+    stroke: tuple[int, int, int] = (0, 0, 0),
+) -> DataFrame:
+    """One image per layer, pixels (grid_id, layer, px, py, r, g, b, a): the layer's cells in its colour, else background.
+
+    Colours come from the range of all layers, so the images match each other. `cells` are as in
+    `rasterize`; rows of `outline_pixels` are drawn on top in the colour of the stroke.
+    """
+    if "band" in cells.columns:
+        held = cell_pixels(cells.where("band > 0").select("grid_id", "grid_row", "grid_col", "band"), grids, frame)
+        # A pixel belongs to all layers up to its band; only pixels are multiplied.
+        held = held.select("grid_id", F.explode(F.sequence(F.lit(0), F.col("band") - 1)).alias("layer"), "px", "py")
+    else:
+        held = cell_pixels(cells.select("grid_id", "grid_row", "grid_col", "layer"), grids, frame).select("grid_id", "layer", "px", "py")
+    colors = layer_colors(layers, scheme)
+    sheets = frame.join(colors.select("grid_id", "layer"), "grid_id")
+    marked = held.withColumn("_held", F.lit(True))
+    found = lookup(_pixels(sheets, "layer"), marked, ["grid_id", "layer", "px", "py"], "left")
+    painted = attach(found, colors, ["grid_id", "layer"], ["px", "py"], "left")
+    painted = painted.withColumn("_c", F.when(F.col("_held"), F.col("_c")))
+    if outlines is not None:
+        drawn = outlines.select("grid_id", "layer", "px", "py").distinct().withColumn("_drawn", F.lit(True))
+        ink = F.struct(*[F.lit(v).cast("int").alias(c) for c, v in zip("rgb", stroke)])
+        kept = [F.col(f"_c.{c}").cast("int").alias(c) for c in "rgb"]
+        painted = lookup(painted, drawn, ["grid_id", "layer", "px", "py"], "left")
+        painted = painted.withColumn("_c", F.when(F.col("_drawn"), ink).when(F.col("_c").isNotNull(), F.struct(*kept)))
+    return painted.select("grid_id", "layer", "px", "py", *_painted(background))
 
 
 def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
