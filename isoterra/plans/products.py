@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 
 from isoterra.operators import components as areas
 from isoterra.operators.grid import (
-    beyond_degrees,
     clean_nonfinite,
     elevation_range,
-    local_metres,
     quality_report,
     repair_outliers,
 )
 from isoterra.operators.heightmap import base_platform, heightmap_layers, heightmap_triangles, join_parts, side_walls
 from isoterra.operators.levels import contour_levels, drop_empty, layer_cells, layer_slabs, select_layers
-from isoterra.operators.mesh import Mesh, cornered_mesh, mesh_extents, repair_mesh, settled, stack_meshes, validate_mesh, with_corners
+from isoterra.operators.mesh import Mesh, mesh_extents, repair_mesh, settled, stack_meshes, validate_mesh
 from isoterra.operators.polygons import complexity_gate, dedup_ring, layer_table, polygon_metrics
 from isoterra.operators.raster import filled_cells
 from isoterra.operators.rings import area_rings
@@ -148,30 +146,6 @@ def terrain_mesh(grid: DataFrame, grids: DataFrame, job: Job = Job(), jobs: Data
     return _scaled(settled(repair_mesh(mesh) if job.repair else mesh), jobs)
 
 
-def _in_metres(mesh: Mesh, grids: DataFrame) -> Mesh:
-    """Vertices of layer solids (mesh `grid#layer`) in degrees to metres about the middle of their grid."""
-    middle = grids.select(
-        "grid_id",
-        (F.col("x0") + F.col("dx") * F.col("width") / 2.0).alias("_lon"),
-        (F.col("y0") + F.col("dy") * F.col("height") / 2.0).alias("_lat"),
-    )
-    own = F.regexp_replace("mesh_id", "#[^#]*$", "").alias("grid_id")
-    keyed = mesh.vertices.select("*", own)
-    # Projected grids stay as they are; decided once per grid.
-    beyond = F.max(beyond_degrees(F.col("x"), F.col("y"))).alias("_projected")
-    frame = cut(middle.join(keyed.groupBy("grid_id").agg(beyond), "grid_id"))
-
-    def moved(rows: DataFrame, corner: str, id_column: str) -> DataFrame:
-        places = [(f"x{k}", f"y{k}") for k in corner] if corner else [("x", "y")]
-        placed = attach(rows, frame, ["grid_id"], [id_column])
-        for x, y in places:
-            east, north = local_metres(F.col(x), F.col(y), F.col("_lon"), F.col("_lat"))
-            placed = placed.withColumns({x: F.when(F.col("_projected"), F.col(x)).otherwise(east), y: F.when(F.col("_projected"), F.col(y)).otherwise(north)})
-        return placed.drop("grid_id", "_lon", "_lat", "_projected")
-
-    return cornered_mesh(moved(keyed, "", "vid"), moved(with_corners(mesh).select("*", own), "012", "tid"))
-
-
 @dataclass(frozen=True)
 class SolidProduct:
     contours: ContourProduct
@@ -192,9 +166,8 @@ def layered_solid(grid: DataFrame, grids: DataFrame, job: Job = Job(), jobs: Dat
     ranged = contours.layers.join(spans, "grid_id")
     slabs = layer_slabs(ranged, F.col("_lo"), F.col("_hi"), job.laser_mm).drop("_lo", "_hi")
     cells = filled_cells(contours.ring_points, grids) if job.remove_holes else contours.cells
-    mesh = extrude_layers(cells, slabs, grids)
-    # Written once: the projection, the report, the extents and every sink read it.
-    mesh = settled(_in_metres(settled(mesh), grids))
+    # Written once: the report, the extents and every sink read it.
+    mesh = settled(extrude_layers(cells, slabs, grids, metres=True))
     report = validate_mesh(mesh)
     if job.repair:
         mesh = repair_mesh(mesh)
