@@ -26,6 +26,8 @@ _BETWEEN = "\u0100"
 _CALL = 20_000
 # Letters below this one are composed, lower-case alike everywhere and count as letters for both vocabularies.
 _LATIN_END = "\u0250"
+# Printable ASCII, Latin and general punctuation without white space: composed already, and lower-cased and split alike everywhere.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e]+")
 # How byte-level vocabularies write bytes: visible Latin-1 characters stand for themselves, the others follow U+0100 in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
@@ -87,7 +89,26 @@ def word_ends(tokenizer):
     singles = [n for e, n in entries.items() if e.endswith(_WORD_END) and len(spelt(e.removesuffix(_WORD_END))) == 1]
     if max(singles) > first:
         return None
-    return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}), ends
+    pattern = _split_pattern(model)
+    if pattern is None:
+        return None
+    return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}), ends, pattern
+
+
+def _split_pattern(model: dict):
+    """The pattern whose matches are the pieces of a text, if that and lower-casing is all that happens to printable ASCII."""
+    import regex
+
+    kinds = [n["type"] for n in (model["normalizer"] or {}).get("normalizers", [])]
+    first, *rest = (model["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    usual = kinds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
+    usual = usual and [r["type"] for r in rest] == ["ByteLevel"] and not rest[0]["use_regex"] and not rest[0]["add_prefix_space"]
+    return regex.compile(first["pattern"]["Regex"]) if usual else None
+
+
+def _latin(word: str) -> bool:
+    """Whether a word is of Latin letters that are composed and keep their number in lower case."""
+    return word.isalpha() and (word.isascii() or (max(word) < _LATIN_END and len(word.lower()) == len(word)))
 
 
 class Encoder:
@@ -125,12 +146,6 @@ class Encoder:
         known = {}
         for start in range(0, len(words), _CALL):
             some = cased[start : start + _CALL]
-            if self.marked is not None:
-                library, is_end = self.marked
-                ids = np.array(library.encode_ordinary(_END.join([*some, ""])), "<u4")
-                ends, data = (np.flatnonzero(is_end[ids]) * 4 + 4).tolist(), ids.tobytes()
-                known.update(zip(words[start : start + _CALL], [data[b:e] for b, e in zip([0, *ends], ends)]))
-                continue
             written = [w if w.isascii() else w.encode().decode("latin-1").translate(_WRITTEN) for w in some]
             line = (_BETWEEN + self.prefix).join(["", *written])[1:] + _BETWEEN
             ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
@@ -139,7 +154,43 @@ class Encoder:
             known.update(zip(words[start : start + _CALL], [data[b:e] for b, e in zip(begins, ends)]))
         return known
 
+    def _learn_pieces(self, missing: set[str]) -> None:
+        """As `_learn`: chunks are split into pieces here, and the faster library merges the pieces of many chunks at once."""
+        library, is_end, pattern = self.marked
+        older, newer, split = self.older, self.newer, pattern.findall
+        chunks, pieces, counts, odd = [], [], [], []
+        for chunk in missing:
+            if chunk in older:
+                newer[chunk] = older[chunk]
+                continue
+            if _latin(chunk):
+                found = [chunk.lower()]
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                newer[chunk] = None
+                continue
+            elif _PLAIN.fullmatch(chunk) and len(chunk.lower()) == len(chunk):
+                found = split(chunk.lower())
+            else:
+                odd.append(chunk)
+                continue
+            chunks.append(chunk)
+            pieces += found
+            counts.append(len(found))
+        for start in range(0, len(odd), _CALL):
+            some = odd[start : start + _CALL]
+            told = self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)
+            newer.update(zip(some, [np.array(t.ids, "<u4").tobytes() for t in told]))
+        # Every piece ends with the one token that ends a word.
+        ids = [np.array(library.encode_ordinary(_END.join([*pieces[at : at + _CALL], ""])), "<u4") for at in range(0, len(pieces), _CALL)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        ends = ((np.flatnonzero(is_end[ids]) + 1) * 4)[np.cumsum(counts, dtype=np.int64) - 1].tolist() if chunks else []
+        data = ids.tobytes()
+        newer.update(zip(chunks, [data[b:e] for b, e in zip([0, *ends], ends)]))
+
     def _learn(self, missing: set[str]) -> None:
+        if self.marked is not None:
+            self._learn_pieces(missing)
+            return
         simple, odd, marks = [], [], {"": b""}
         for chunk in missing:
             if chunk in self.older:
