@@ -49,7 +49,7 @@ def _cached(inventory: DataFrame) -> DataFrame:
 
 def tile_coverage(boxes: DataFrame, inventory: DataFrame) -> DataFrame:
     """Needed, cached and missing tile counts per box; `inventory` is (tile, bytes)."""
-    # One tile may lie in most boxes, so the lookup salts hot tiles.
+    # One tile may lie in most boxes; the planner splits the partitions of such tiles.
     marked = lookup(needed_tiles(boxes), _cached(inventory).withColumn("_have", F.lit(True)), ["tile"], "left")
     return marked.groupBy("box_id").agg(
         F.count(F.lit(1)).alias("needed"),

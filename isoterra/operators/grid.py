@@ -105,7 +105,8 @@ def mosaic(grid: DataFrame, grids: DataFrame, mosaic_id: str = "mosaic") -> Data
     row, col = F.col("grid_row"), F.col("grid_col")
     inside = (row >= 0) & (row < F.col("_rows")) & (col >= 0) & (col < F.col("_cols"))
     in_seam = F.exists("_seams", lambda s: (row >= s["top"]) & (row < s["bottom"]) & (col >= s["left"]) & (col < s["right"]))
-    alone = inside & ~F.coalesce(in_seam, F.lit(False))
+    # One expression that names the cell's own columns outside the function, so that it stays above the join.
+    alone = F.when(inside, ~F.coalesce(in_seam, F.lit(False))).otherwise(F.lit(False))
     moved = [(row + F.col("_dr")).alias("grid_row"), (col + F.col("_dc")).alias("grid_col")]
     own = cells.where(alone).select(F.lit(mosaic_id).alias("grid_id"), *moved, "elev")
     # max_by skips rows whose ordering is NULL, so a void never covers a valid cell.

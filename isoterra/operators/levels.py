@@ -118,12 +118,16 @@ def reached(elev: Column, floors: Column) -> Column:
     def halve(state: Column, _: Column) -> Column:
         low, high = state["low"], state["high"]
         middle = F.floor((low + high) / 2).cast("int")
-        over = (low < high) & (F.get(floors, middle)["lower"] <= elev)
+        over = (low < high) & (F.get(floors, middle)["lower"] <= state["elev"])
         return F.struct(
-            F.when(over, middle + 1).otherwise(low).alias("low"), F.when(over | (low >= high), high).otherwise(middle).alias("high")
+            F.when(over, middle + 1).otherwise(low).alias("low"),
+            F.when(over | (low >= high), high).otherwise(middle).alias("high"),
+            state["elev"].alias("elev"),
         )
 
-    start = F.struct(F.lit(0).alias("low"), F.size(floors).alias("high"))
+    # The elevation is part of the state: the optimizer does not see columns that only the function names, and
+    # would move a filter on the result to the side of a join that lacks it.
+    start = F.struct(F.lit(0).alias("low"), F.size(floors).alias("high"), elev.alias("elev"))
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(floors) + F.lit(1))).cast("int"))
     return F.aggregate(rounds, start, halve, lambda s: s["low"])
 

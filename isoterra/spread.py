@@ -57,10 +57,12 @@ def discard(copy: DataFrame) -> None:
 def proven_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether Catalyst's size estimate, which starts no job, bounds a frame.
 
-    The estimate ignores how far `explode` multiplies rows, so a plan that generates rows proves nothing.
+    The estimate ignores how far `explode` and Python functions multiply rows, so a plan that has them
+    proves nothing.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
-    return "Generate" not in plan.toString() and int(str(plan.stats().sizeInBytes())) <= limit
+    multiplies = any(node in plan.toString() for node in ("Generate", "InPandas", "InArrow"))
+    return not multiplies and int(str(plan.stats().sizeInBytes())) <= limit
 
 
 def attach(

@@ -12,6 +12,7 @@ from isoterra.plans.area import BoxJob, covering_tiles, load_area, make_area
 from isoterra.plans.products import Job
 from isoterra.sinks.tiles import write_hgt
 from isoterra.sources.hgt import scan_hgt
+from isoterra.spread import cut
 
 CELLS = "grid_id string, grid_row int, grid_col int, elev float"
 SIDE = 9
@@ -181,6 +182,9 @@ def test_levels_are_found_by_bisection(spark):
     table = spark.createDataFrame(levels, "grid_id string, level_index int, lower double, upper double")
     band = {(r.grid_id, r.grid_row): r.band for r in banded_cells(grid, table).collect()}
     assert band == {(g, n): sum(v <= e for v in floors[g]) for g, n, _, e in cells if g in floors and e is not None and e < math.inf}
+    # A filter on the band must not move below the join, with stored grids either.
+    stored = banded_cells(cut(grid), table.withColumn("lower", F.explode(F.array("lower")))).where("band > 3")
+    assert {(r.grid_id, r.grid_row) for r in stored.collect()} == {k for k, b in band.items() if b > 3}
     member = {(r.grid_id, r.layer, r.grid_row) for r in layer_cells(grid, table).collect()}
     assert member == {
         (g, k, n) for g, n, _, e in cells if g in floors and e is not None for k, v in enumerate(floors[g]) if e >= v or math.isnan(e)

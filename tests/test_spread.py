@@ -44,6 +44,7 @@ def test_generated_rows_prove_no_size(spark):
     few = spark.range(3)
     many = few.select(F.explode(F.sequence(F.lit(0), F.lit(10**6))).alias("id"))
     assert spread.proven_small(few) and not spread.proven_small(many)
+    assert not spread.proven_small(few.mapInPandas(lambda frames: frames, few.schema))
     plan = spread.attach(many.select("id"), many.selectExpr("id", "1 v"), ["id"], None)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
