@@ -34,6 +34,14 @@ def _written(value: Column, whole: Column, places: Column, scaled: Column, beyon
     return F.when(scaled < 2.0**52, text).otherwise(F.format_string(f"%.{beyond}f", value))
 
 
+def _written_fixed(value: Column, whole: Column, digits: int, scaled: Column) -> Column:
+    """As `_written` for a given count of decimals, by whole division: the fraction is shown behind a leading one."""
+    unit = F.lit(10**digits).cast("long")
+    back = F.concat(F.lit("."), F.substring((unit + whole % unit).cast("string"), 2, digits)) if digits else F.lit("")
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.call_function("div", whole, unit).cast("string"), back)
+    return F.when(scaled < 2.0**52, text).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def fixed(value: Column, digits: int) -> Column:
     """Number with a fixed count of decimals (0 to 8)."""
     value, scale = value.cast("double"), F.lit(float(10**digits))
@@ -66,15 +74,16 @@ def with_text(df: DataFrame, columns: Sequence[str], digits: int | None = None)
     sized = df.withColumns(staged("size", lambda c: F.abs(F.col(c).cast("double"))))
     places = (lambda c: F.lit(digits)) if digits is not None else (lambda c: _significant_places(col(c, "size")))
     placed = sized.withColumns(staged("places", places))
-    scaled = placed.withColumns(staged("scale", lambda c: F.pow(F.lit(10.0), col(c, "places")))).withColumns(
+    scale = (lambda c: F.lit(float(10**digits))) if digits is not None else (lambda c: F.pow(F.lit(10.0), col(c, "places")))
+    scaled = placed.withColumns(staged("scale", scale)).withColumns(
         staged("scaled", lambda c: col(c, "size") * col(c, "scale"))
     )
     whole = scaled.withColumns(staged("whole", lambda c: _whole(col(c, "size"), col(c, "scale"), col(c, "scaled"))))
 
     def text(c: str) -> Column:
-        written = _written(F.col(c), col(c, "whole"), col(c, "places"), col(c, "scaled"), digits or 0)
         if digits is not None:
-            return written
+            return _written_fixed(F.col(c), col(c, "whole"), digits, col(c, "scaled"))
+        written = _written(F.col(c), col(c, "whole"), col(c, "places"), col(c, "scaled"), 0)
         return F.regexp_replace(F.regexp_replace(written, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
     return whole.select(*df.columns, *[text(c).alias(f"{c}_text") for c in columns])
